@@ -5,9 +5,9 @@ similarity reaches ``percent`` are linked, and the links' connected components
 are the groups.
 
 Signatures (Arasu, Ganti and Kaushik, 2006, with one second-level part, so each
-enumerated subset is one part).  Sizes are cut into bands in which the smallest
-size is at least ``percent`` of the largest; two linked sets lie in the same or
-in neighbouring bands, so each set signs for its own band and the next.  In a
+enumerated subset is one part).  Sizes are cut into bands of factor ``BAND``.
+A set signs for its own band and, if a linked larger set may lie in the next
+one, for that too.  In a
 band whose largest size is r, linked sets differ in at most
 k = floor(2 r (1 - s) / (1 + s)) elements.  The hash domain is cut into
 k + 1 + SPARE ranges: at least 1 + SPARE of them hold the same elements in both
@@ -39,6 +39,8 @@ from .components import connected_components
 from .text import mix, whole_hash, words_of
 
 SPARE = 2
+#: Smallest over largest size of a band: wider bands need more ranges, narrower ones more sets that sign twice.
+BAND = 0.7
 _U64 = np.uint64
 SKETCH = 4  # words of 64 parity cells
 SIGNED = "doc_id long, n_shingles long, node long, sketch array<long>, signatures array<long>"
@@ -64,7 +66,7 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands 1, 2, ...: ``low[i]..high[i]`` with low >= percent of high."""
+    """Size bands 1, 2, ...: ``low[i]..high[i]``; the next band's smallest links reach into this one only."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -75,7 +77,7 @@ class Bands:
         while self.high[-1] < size:
             low = self.high[-1] + 1
             self.low.append(low)
-            self.high.append(max(low, low * 100 // self.percent))
+            self.high.append(max(int(low / BAND), low * 100 // self.percent))
         return int(np.searchsorted(self.high, size))
 
     def differing(self, band: int) -> int:
@@ -91,12 +93,12 @@ class Bands:
         return got
 
     def signatures(self, own: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set for its own band and the next."""
+        """Signatures of a sorted set for its own band and, if a larger set there may be linked, the next."""
         band = self.of(len(own))
-        self.of(self.high[band] + 1)
+        both = self.of(len(own) * 100 // self.percent) > band
         total = np.concatenate([np.zeros(1, dtype=_U64), np.cumsum(mix(own + _U64(0x51ED270B)))])
         out = []
-        for b in (band, band + 1):
+        for b in (band, band + 1)[: 1 + both]:
             at = np.searchsorted(own, self.cuts(b))
             at = np.concatenate([[0], at, [len(own)]])
             part = total[at[1:]] - total[at[:-1]]
