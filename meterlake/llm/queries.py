@@ -5,21 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import containment, jaccard, quality, toxicity
+from .common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents and the Gumbel top-k sample of them."""
+    rows, _ = quality.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rows
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose 3-word shingle sets reach a Jaccard similarity of 0.9."""
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from label rows outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), usable=~held_out())
+    rows = toxicity.scores(docs, model)
+    return rows.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_segments", "evidence")
+
+
+def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds at least 0.8 of a benchmark item's 5-word shingles, with the item."""
+    return containment.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=5, threshold=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_importance_resampling": op4_quality_importance_resampling,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op8_toxic_segments": op8_toxic_segments,
+    "op10_benchmark_containment": op10_benchmark_containment,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_benchmark_containment": containment.ORACLE}

@@ -20,6 +20,8 @@ _MULT = _U64(0x9E3779B97F4A7C15)
 _INV = _U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of plain tokens: ASCII other than letters and digits.
+NOT_TOKEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.RandomState(7).randint(0, 1 << 63, 256, dtype=np.int64).astype(_U64) * _U64(2) + _U64(1)
@@ -56,17 +58,17 @@ class Words:
     the words of text ``i`` are ``bounds[i]:bounds[i + 1]``.
     """
 
-    __slots__ = ("bounds", "data", "end", "hashes", "offsets", "start")
+    __slots__ = ("_total", "bounds", "data", "end", "hashes", "offsets", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True, separators: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
         n = len(data)
         if n == 0:
             self.start = self.end = np.zeros(0, dtype=np.int64)
-            self.hashes = np.zeros(0, dtype=_U64)
+            self.hashes, self._total = np.zeros(0, dtype=_U64), np.zeros(1, dtype=_U64)
             self.bounds = np.zeros(len(offsets), dtype=np.int64)
             return
-        word = ~_SPACE[data]
+        word = ~separators[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         first = word.copy()
@@ -79,13 +81,23 @@ class Words:
         values = (_FOLDED if fold else _BYTE)[data]
         values *= _power("up", _MULT, n)
         np.cumsum(values, out=total[1:])
-        raw = (total[self.end] - total[self.start]) * _power("down", _INV, n)[self.start]
-        self.hashes = mix(raw + (self.end - self.start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
+        self._total = total
+        self.hashes = self._hash(self.start, self.end)
         self.bounds = np.searchsorted(self.start, offsets)
 
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        raw = (self._total[end] - self._total[start]) * _power("down", _INV, len(self.data))[start]
+        return mix(raw + (end - start).astype(_U64) * _U64(0xD6E8FEB86659FD93))
+
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words longer than ``length`` bytes, and the hashes of their first ``length`` bytes with the number as a mark."""
+        at = np.flatnonzero(self.end - self.start > length)
+        start = self.start[at]
+        return at, mix(self._hash(start, start + length) + _U64(length))
+
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``width`` words inside one text, and their bounds by text."""
         w, n = self.hashes, len(self.hashes) - width + 1
@@ -144,9 +156,9 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = end
 
 
-def words_of(column: pa.Array, fold: bool = True) -> Iterator[tuple[int, int, Words]]:
+def words_of(column: pa.Array, fold: bool = True, separators: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     for row, end, data, offsets in slices(column):
-        yield row, end, Words(data, offsets, fold)
+        yield row, end, Words(data, offsets, fold, separators)
 
 
 class HashArray:
