@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard, quality, toxicity
+from . import containment, jaccard, langid, quality, toxicity
 from .common import held_out
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those outside the held-out quarter."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = langid.identified(docs, langid.fit(docs, ~held_out()))
+    return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weights of all documents and the Gumbel top-k sample of them."""
     rows, _ = quality.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -40,6 +47,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_kneser_ney": op1_language_kneser_ney,
     "op4_quality_importance_resampling": op4_quality_importance_resampling,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_toxic_segments": op8_toxic_segments,
