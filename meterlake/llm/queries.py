@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard, langid, quality, toxicity
+from . import containment, jaccard, langid, mixing, quality, sharding, toxicity
 from .common import held_out
 
 
@@ -22,6 +22,12 @@ def op1_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of all sources takes."""
+    rows, _ = mixing.mixture(_table(spark, sf_dir, "documents"), weights=(1, 2, 3))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weights of all documents and the Gumbel top-k sample of them."""
     rows, _ = quality.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -41,6 +47,11 @@ def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "n_segments", "evidence")
 
 
+def op9_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, equal texts together."""
+    return sharding.sharded(_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds at least 0.8 of a benchmark item's 5-word shingles, with the item."""
     return containment.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=5, threshold=0.8)
@@ -48,9 +59,11 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_kneser_ney": op1_language_kneser_ney,
+    "op2_source_mixing": op2_source_mixing,
     "op4_quality_importance_resampling": op4_quality_importance_resampling,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_toxic_segments": op8_toxic_segments,
+    "op9_best_fit_sharding": op9_best_fit_sharding,
     "op10_benchmark_containment": op10_benchmark_containment,
 }
 
