@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, jaccard, langid, mixing, quality, sharding, toxicity
+from . import containment, embeddings, jaccard, langid, mixing, quality, sharding, toxicity
 from .common import held_out
 
 
@@ -28,6 +28,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links of a cosine of 0.9 or more, and their groups."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_quality_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weights of all documents and the Gumbel top-k sample of them."""
     rows, _ = quality.sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -60,6 +65,7 @@ def op10_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_kneser_ney": op1_language_kneser_ney,
     "op2_source_mixing": op2_source_mixing,
+    "op3_cross_polytope_neighbours": op3_cross_polytope_neighbours,
     "op4_quality_importance_resampling": op4_quality_importance_resampling,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op8_toxic_segments": op8_toxic_segments,
