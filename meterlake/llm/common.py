@@ -63,3 +63,19 @@ def uniform(column: Column, seed: int) -> Column:
 def bounded(df: DataFrame, limit: int) -> bool:
     """Whether a table has at most ``limit`` rows."""
     return df.count() <= limit
+
+
+#: Slots of :func:`likely_in`: the most rows that it broadcasts.
+ID_SLOTS = 1 << 20
+
+
+def likely_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """Rows whose id hashes to a slot of one of ``ids`` (``left_anti``: the others, which are surely not among them).
+
+    A filter of fixed size before an exact join: at most ``ID_SLOTS`` numbers
+    are broadcast, however many ids there are, and few other rows pass while
+    the ids are few.  Large rows then needn't be shuffled to be found.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_SLOTS))
+    taken = ids.select(slot(column).alias("id_slot")).distinct()
+    return rows.join(F.broadcast(taken), slot(column) == F.col("id_slot"), how)

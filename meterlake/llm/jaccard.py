@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, dropped, written
+from .common import arrow_batches, dropped, likely_in, written
 from .components import connected_components
 from .text import mix, whole_hash, words_of
 
@@ -44,7 +44,7 @@ BAND = 0.7
 _U64 = np.uint64
 SKETCH = 4  # words of 64 parity cells
 SIGNED = "doc_id long, n_shingles long, node long, sketch array<long>, signatures array<long>"
-SETS = "doc_id long, node long, shingles array<long>"
+SETS = "node long, shingles array<long>"
 
 
 def text_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -142,12 +142,14 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """The whole sets of ``text, node`` rows whose text is that node's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(text_sets(batch.column(1), width))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _long_lists(sets)], names=["doc_id", "node", "shingles"])
+            own = [(node, s) for node, s in zip(batch.column(1).to_pylist(), text_sets(batch.column(0), width), strict=True) if len(s) and fingerprint(s) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in own], pa.int64()), _long_lists([s for _, s in own])], names=["node", "shingles"])
 
-    return docs.select("doc_id", "text", "node").mapInArrow(run, SETS)
+    return docs.select("text", "node").mapInArrow(run, SETS)
 
 
 def _may_link(percent: int) -> Column:
@@ -167,9 +169,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, p
         "likely",
     )
     wanted = likely.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("a").alias("node")), F.struct(F.col("doc_b").alias("doc_id"), F.col("b").alias("node")))).alias("w")).select("w.*").distinct()
-    sets = written(shingle_sets(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id"), width).dropDuplicates(["node", "doc_id"]), "sets")
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
+    texts = likely_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted).join(wanted, "doc_id")
+    sets = written(shingle_sets(texts, width), "sets")
+    x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     out = written(
         likely.select("a", "b").join(x, "a").join(y, "b").where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(),
