@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import containment, embeddings, jaccard, langid, mixing, quality, sharding, toxicity
+from . import containment, embeddings, html, jaccard, langid, mixing, quality, sharding, toxicity, urls
 from .common import held_out
 
 
@@ -44,6 +44,23 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op6_url_temporal_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture of ``pages`` with the lists its URL is on at its fetch time.
+
+    The table has no fetch times: capture n is taken as fetched n mod 366 days
+    into 2024.  The list joins fixed entries with hosts reported from the captures.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id"), F.lit(366)).cast("int"))
+    entries = urls.fixed_entries(spark).unionByName(urls.reported_hosts(pages))
+    return urls.evaluated(pages.select("page_id", "url", fetched.alias("fetched_on")), entries)
+
+
+def op7_layout_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages, laid out."""
+    return html.rendered(_table(spark, sf_dir, "pages"))
+
+
 def op8_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from label rows outside the held-out quarter."""
     docs = _table(spark, sf_dir, "documents")
@@ -68,9 +85,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_cross_polytope_neighbours": op3_cross_polytope_neighbours,
     "op4_quality_importance_resampling": op4_quality_importance_resampling,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_url_temporal_lists": op6_url_temporal_lists,
+    "op7_layout_rendering": op7_layout_rendering,
     "op8_toxic_segments": op8_toxic_segments,
     "op9_best_fit_sharding": op9_best_fit_sharding,
     "op10_benchmark_containment": op10_benchmark_containment,
 }
 
-ORACLES: dict[str, str] = {"op10_benchmark_containment": containment.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_url_temporal_lists": urls.ORACLE,
+    "op10_benchmark_containment": containment.ORACLE,
+}
