@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+from pyspark import Broadcast
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +82,24 @@ def likely_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", how: str
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_SLOTS))
     taken = ids.select(slot(column).alias("id_slot")).distinct()
     return rows.join(F.broadcast(taken), slot(column) == F.col("id_slot"), how)
+
+
+#: Bits of :func:`bitmap`.
+BITMAP_BITS = 27
+
+
+def bitmap(keys: DataFrame, column: str) -> Broadcast:
+    """A broadcast bitmap of ``BITMAP_BITS`` address bits (16 MB, however many keys) with the low bits of the keys set."""
+    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    word = F.shiftright(place, 6)
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    rows = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys may be among those of the bitmap; none of them is missed."""
+    place = keys.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0

@@ -10,11 +10,11 @@ A set signs for its own band and, if a linked larger set may lie in the next
 one, for that too.  In a
 band whose largest size is r, linked sets differ in at most
 k = floor(2 r (1 - s) / (1 + s)) elements.  The hash domain is cut into
-k + 1 + SPARE ranges: at least 1 + SPARE of them hold the same elements in both
-sets, and the hash of such a range is a shared signature.  Ranges without
-elements would be shared by strangers; a set with at most SPARE empty ranges
-leaves them out and still shares another one, and a set with more keeps them.
-So no linked pair is lost.
+k + 1 + e ranges: at least 1 + e of them hold the same elements in both sets, and
+the hash of such a range is a shared signature.  Ranges without elements would
+be shared by strangers; a set with at most e empty ranges leaves them out and
+still shares another one, and a set with more (e is chosen so that hardly any
+has) keeps them.  So no linked pair is lost.
 
 Plan.  Equal sets are one node (their 64-bit fingerprint), so copies cost
 nothing.  In a bucket of nodes with one signature, all are compared with the
@@ -34,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, dropped, likely_in, written
+from .common import arrow_batches, bitmap, dropped, in_bitmap, likely_in, written
 from .components import connected_components
 from .text import mix, whole_hash, words_of
 
+#: Ranges without elements that a set may leave out, besides those that are to be expected.
 SPARE = 2
 #: Smallest over largest size of a band: wider bands need more ranges, narrower ones more sets that sign twice.
 BAND = 0.7
@@ -72,6 +73,7 @@ class Bands:
         self.percent = percent
         self.low, self.high = [1], [1]
         self._cuts: dict[int, np.ndarray] = {}
+        self._spare: dict[int, int] = {}
 
     def of(self, size: int) -> int:
         while self.high[-1] < size:
@@ -84,10 +86,18 @@ class Bands:
         """Most elements in which linked sets of at most the band's largest size differ."""
         return 2 * self.high[band] * (100 - self.percent) // (100 + self.percent)
 
+    def spare(self, band: int) -> int:
+        """Empty ranges that sets of the band may leave out: four deviations above what the smallest expects."""
+        if band not in self._spare:
+            parts, smallest = self.differing(band) + 1, max(self.low[band] * self.percent // 100, 1)
+            empty = parts * np.exp(-smallest / parts)
+            self._spare[band] = SPARE + int(empty + 4 * np.sqrt(empty)) if self.differing(band) else SPARE
+        return self._spare[band]
+
     def cuts(self, band: int) -> np.ndarray:
         got = self._cuts.get(band)
         if got is None:
-            parts = self.differing(band) + 1 + SPARE
+            parts = self.differing(band) + 1 + self.spare(band)
             got = np.array([(i << 64) // parts for i in range(1, parts)], dtype=object).astype(_U64)
             self._cuts[band] = got
         return got
@@ -105,7 +115,7 @@ class Bands:
             label = (np.arange(len(part), dtype=_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15) + _U64(b * 0xC2B2AE3D27D4EB4F % (1 << 64))
             signature = mix(mix(part) ^ label)
             filled = at[1:] > at[:-1]
-            out.append(signature[filled] if (~filled).sum() <= SPARE else signature)
+            out.append(signature[filled] if (~filled).sum() <= self.spare(b) else signature)
         return np.concatenate(out).view(np.int64)
 
 
@@ -141,6 +151,20 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
+def _maybe_shared(base: DataFrame, shared: DataFrame) -> DataFrame:
+    """``signature, node`` of the signatures that may be shared, by a bitmap of fixed size: the others needn't be shuffled again."""
+    bits = bitmap(shared, "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy()
+            keep = in_bitmap(bits.value, flat)
+            node = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(node[keep])], names=["signature", "node"])
+
+    return base.select("node", "signatures").mapInArrow(run, "signature long, node long")
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """The whole sets of ``text, node`` rows whose text is that node's."""
 
@@ -199,7 +223,8 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     nodes = written(nodes.select("node", "doc_id", "n", F.array(*[f"s.s{i}" for i in range(SKETCH)]).alias("sketch")), "nodes")
     rows = linkable.select(F.explode("signatures").alias("signature"), "node")
     shared = rows.groupBy("signature").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("signature")
-    buckets = written(rows.join(shared, "signature").distinct(), "buckets")
+    shared = written(shared, "shared")
+    buckets = written(_maybe_shared(linkable, shared).join(shared, "signature").distinct(), "buckets")
     met = buckets.join(buckets.groupBy("signature").count(), "signature").groupBy("node").agg(F.sum("count").alias("met"))
     hubs = buckets.join(met, "node").groupBy("signature").agg(F.max(F.struct("met", "node")).alias("m")).select("signature", F.col("m.node").alias("hub"))
 
@@ -221,3 +246,20 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     dropped(buckets, placed)
     own = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     return own.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group: those with its smallest ``doc_id``.
+
+    Rows with a null id or without words stay.  Rows that share a ``doc_id``
+    stand or fall together, and equal texts among them are one.
+    """
+    groups = written(jaccard_groups(docs, width, percent), "groups")
+    known = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    odd = written(known.where("n > 1 or not stays"), "odd")
+    sure, maybe = likely_in(docs, odd, how="left_anti"), likely_in(docs, odd)
+    gone = odd.where("not stays").select(F.col("doc_id").alias("gone_id"))
+    maybe = maybe.join(gone, maybe["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    if not odd.where("n > 1 and stays").isEmpty():
+        maybe = maybe.dropDuplicates(["doc_id", "text"])
+    return sure.unionByName(maybe)
