@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 
-TABLES, HASHES, PROBES = 12, 2, 6
+TABLES, HASHES, PROBES = 8, 3, 12
+#: Bytes of vectors that may be broadcast to verify pairs; beyond it they are joined by shuffling.
+BROADCAST_BYTES = 32 << 20
 SEED = 3
 BUCKETS = "node long, dim int, table int, bucket long, own boolean"
 
@@ -100,6 +102,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
 
 def _cosines(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs of nodes with a cosine of at least ``least``."""
+    size = nodes.agg(F.coalesce(F.sum(8 * F.col("dim").cast("long") + 32), F.lit(0))).first()[0]
+    nodes = F.broadcast(nodes) if size <= BROADCAST_BYTES else nodes
     a = nodes.select(F.col("node").alias("a"), F.col("v").alias("va"))
     b = nodes.select(F.col("node").alias("b"), F.col("v").alias("vb"))
 
