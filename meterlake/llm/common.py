@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of ids that may be broadcast (16 bytes a row at most); beyond it joins shuffle.
 BROADCAST_IDS = 500_000
-#: Bytes of text that an Arrow batch may hold before Python sees it.
-ARROW_BATCH_BYTES = 32 << 20
+#: Rows and bytes that an Arrow batch may hold before Python sees it.
+ARROW_BATCH_ROWS, ARROW_BATCH_BYTES = 1_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +48,8 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch, for tables with very long texts."""
+    """Bound Arrow batches, for tables with very long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
