@@ -16,8 +16,10 @@ be shared by strangers; a set with at most e empty ranges leaves them out and
 still shares another one, and a set with more (e is chosen so that hardly any
 has) keeps them.  So no linked pair is lost.
 
-Plan.  Equal sets are one node (their 64-bit fingerprint), so copies cost
-nothing.  In a bucket of nodes with one signature, all are compared with the
+Plan.  All signatures are shuffled once, alone, to find those that more than one row
+has; a bitmap of fixed size then keeps the others from being shuffled again (if
+it fills up, more pass, and the result is the same).  Equal sets are one node
+(their 64-bit fingerprint), so copies cost nothing.  In a bucket of nodes with one signature, all are compared with the
 smallest; what then lies in different components is compared pairwise.  Groups
 of near copies thus cost about one comparison a member.  Pairs first pass a
 lossless filter: the parities of a set's hashes in 256 cells differ in no more
@@ -31,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +134,23 @@ def _long_lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row per text: set size, node, parity sketch and signatures."""
+def _often(docs: DataFrame, width: int, percent: int) -> Broadcast:
+    """A bitmap of the signatures that more than one row has; equal rows count too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            named = np.asarray(batch.column(0).is_valid())
+            signs = [bands.signatures(own) for own, known in zip(text_sets(batch.column(1), width), named, strict=True) if known and len(own)]
+            if signs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs))], names=["signature"])
+
+    signatures = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long")
+    return bitmap(signatures.groupBy("signature").count().where("count > 1"), "signature")
+
+
+def signed(docs: DataFrame, width: int, percent: int, often: Broadcast) -> DataFrame:
+    """One row per text: set size, node, parity sketch and those of its signatures that other rows may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -142,7 +160,8 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 n.append(len(own))
                 node.append(fingerprint(own) if len(own) else None)
                 sketch.append(parities(own))
-                signs.append(bands.signatures(own) if len(own) else np.zeros(0, dtype=np.int64))
+                found = bands.signatures(own) if len(own) else np.zeros(0, dtype=np.int64)
+                signs.append(found[in_bitmap(often.value, found)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _long_lists(sketch), _long_lists(signs)],
                 names=["doc_id", "n_shingles", "node", "sketch", "signatures"],
@@ -151,20 +170,6 @@ def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
-def _maybe_shared(base: DataFrame, shared: DataFrame) -> DataFrame:
-    """``signature, node`` of the signatures that may be shared, by a bitmap of fixed size: the others needn't be shuffled again."""
-    bits = bitmap(shared, "signature")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column(1).flatten().to_numpy()
-            keep = in_bitmap(bits.value, flat)
-            node = np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(node[keep])], names=["signature", "node"])
-
-    return base.select("node", "signatures").mapInArrow(run, "signature long, node long")
-
-
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """The whole sets of ``text, node`` rows whose text is that node's."""
 
@@ -217,14 +222,14 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    base = written(signed(docs, width, percent), "signed")
+    base = written(signed(docs, width, percent, _often(docs, width, percent)), "signed")
     linkable = base.where("n_shingles > 0 and doc_id is not null")
     nodes = linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max(F.struct(*[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)])).alias("s"))
     nodes = written(nodes.select("node", "doc_id", "n", F.array(*[f"s.s{i}" for i in range(SKETCH)]).alias("sketch")), "nodes")
-    rows = linkable.select(F.explode("signatures").alias("signature"), "node")
+    rows = written(linkable.select(F.explode("signatures").alias("signature"), "node").distinct(), "rows")
     shared = rows.groupBy("signature").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("signature")
-    shared = written(shared, "shared")
-    buckets = written(_maybe_shared(linkable, shared).join(shared, "signature").distinct(), "buckets")
+    buckets = written(rows.join(shared, "signature"), "buckets")
+    dropped(rows)
     met = buckets.join(buckets.groupBy("signature").count(), "signature").groupBy("node").agg(F.sum("count").alias("met"))
     hubs = buckets.join(met, "node").groupBy("signature").agg(F.max(F.struct("met", "node")).alias("m")).select("signature", F.col("m.node").alias("hub"))
 
