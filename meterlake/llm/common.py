@@ -69,6 +69,14 @@ def bounded(df: DataFrame, limit: int) -> bool:
     return df.count() <= limit
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Slots of :func:`likely_in`: the most rows that it broadcasts.
 ID_SLOTS = 1 << 20
 
@@ -81,8 +89,9 @@ def likely_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", how: str
     the ids are few.  Large rows then needn't be shuffled to be found.
     """
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_SLOTS))
-    taken = ids.select(slot(column).alias("id_slot")).distinct()
-    return rows.join(F.broadcast(taken), slot(column) == F.col("id_slot"), how)
+    name = fresh(rows, "id_slot")
+    taken = ids.select(slot(column).alias(name)).distinct()
+    return rows.join(F.broadcast(taken), slot(column) == F.col(name), how)
 
 
 #: Bits of :func:`bitmap`.

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bitmap, dropped, in_bitmap, likely_in, written
+from .common import arrow_batches, bitmap, dropped, fresh, in_bitmap, likely_in, written
 from .components import connected_components
 from .text import mix, whole_hash, words_of
 
@@ -263,8 +263,9 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("component_id") == F.col("doc_id")).alias("stays"))
     odd = written(known.where("n > 1 or not stays"), "odd")
     sure, maybe = likely_in(docs, odd, how="left_anti"), likely_in(docs, odd)
-    gone = odd.where("not stays").select(F.col("doc_id").alias("gone_id"))
-    maybe = maybe.join(gone, maybe["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
+    name = fresh(docs, "gone_id")
+    gone = odd.where("not stays").select(F.col("doc_id").alias(name))
+    maybe = maybe.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
     if not odd.where("n > 1 and stays").isEmpty():
         maybe = maybe.dropDuplicates(["doc_id", "text"])
     return sure.unionByName(maybe)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, fresh, written
 
 BLOCK_WORDS = 1024
 MAX_REPEATS = 3
@@ -217,6 +217,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), **options: int)
     shared out evenly.  Rows with a null id, or without words, are not taken.
     """
     taken, _ = mixture(docs, weights, **options)
-    times = taken.where("taken > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias("mixed_times")).where("mixed_times > 0")
-    count = "mixed_times"
-    return docs.join(times, F.col("doc_id").cast("long") == F.col("mixed_id")).withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), count))).select(*[docs[c] for c in docs.columns])
+    key, times, copy = (fresh(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
+    often = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
+    wanted = taken.where("taken > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(often.alias(times)).where(F.col(times) > 0)
+    joined = docs.join(wanted, F.col("doc_id").cast("long") == F.col(key))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)

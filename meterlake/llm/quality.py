@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, uniform, written
+from .common import arrow_batches, fresh, uniform, written
 from .text import Words, slices
 
 #: Labelled rows that the target model and the threshold are fitted on, at most.
@@ -223,9 +223,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int |
 def resampled(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int | None = None) -> DataFrame:
     """The sampled rows of ``docs`` with all their columns, decided in one pass by each row's own text and id."""
     _, model = sampled(docs, labels, label, k)
-    at, noise = docs.columns.index("text"), "gumbel_noise"
-    while noise in docs.columns:
-        noise += "_"
+    at, noise = docs.columns.index("text"), fresh(docs, "gumbel_noise")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
