@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark import Broadcast
@@ -47,8 +49,25 @@ def dropped(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+_shipped: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once an application, so that their Python workers can import it."""
+    app, package = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped or not package.is_dir():
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="meterlake-")) / f"{package.name}-{app}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+
+
 def arrow_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches, for tables with very long texts."""
+    """Before Python runs on executors: ship the package, and bound Arrow batches for tables with very long texts."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_batches, written
 from .components import connected_components
 
 TABLES, HASHES, PROBES = 8, 3, 12
@@ -133,6 +133,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     An empty table gives none.
     Rows that share a ``vec_id`` are separate vectors under one name.
     """
+    arrow_batches(vectors.sparkSession)
     value = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & (F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     peak = F.array_max(F.transform(value, lambda x: F.abs(x)))

@@ -47,7 +47,8 @@ SPARE = 2
 BAND = 0.7
 _U64 = np.uint64
 SKETCH = 4  # words of 64 parity cells
-SIGNED = "doc_id long, n_shingles long, node long, sketch array<long>, signatures array<long>"
+SIGNED = "doc_id long, n_shingles long, node long, sketch array<long>, wide binary, signatures array<long>"
+LIKELY = "a long, b long, doc_a long, doc_b long"
 SETS = "node long, shingles array<long>"
 
 
@@ -123,9 +124,17 @@ class Bands:
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """Parity of the set's elements in each of 256 cells."""
-    cells = np.bincount((mix(own) >> _U64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+    """Parity of the set's elements in each of 256 or more cells, about as many as elements; packed bits."""
+    cells = 1 << max(8, int(len(own)).bit_length())
+    counts = np.bincount((mix(own) & _U64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(counts.astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The same parities in fewer cells: ``size`` bytes of packed bits."""
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
 
 
 def _long_lists(parts: list[np.ndarray]) -> pa.Array:
@@ -155,16 +164,18 @@ def signed(docs: DataFrame, width: int, percent: int, often: Broadcast) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            n, node, sketch, signs = [], [], [], []
+            n, node, sketch, wide, signs = [], [], [], [], []
             for own in text_sets(batch.column(1), width):
                 n.append(len(own))
                 node.append(fingerprint(own) if len(own) else None)
-                sketch.append(parities(own))
+                bits = parities(own)
+                sketch.append(folded(bits, 8 * SKETCH).view(np.int64))
+                wide.append(bits.tobytes())
                 found = bands.signatures(own) if len(own) else np.zeros(0, dtype=np.int64)
                 signs.append(found[in_bitmap(often.value, found)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _long_lists(sketch), _long_lists(signs)],
-                names=["doc_id", "n_shingles", "node", "sketch", "signatures"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _long_lists(sketch), pa.array(wide, pa.binary()), _long_lists(signs)],
+                names=["doc_id", "n_shingles", "node", "sketch", "wide", "signatures"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
@@ -191,12 +202,22 @@ def _may_link(percent: int) -> Column:
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` of nodes that reach the similarity on whole sets."""
     a, b = nodes.alias("a"), nodes.alias("b")
-    likely = written(
-        pairs.alias("p").join(a, F.col("p.a") == F.col("a.node")).join(b, F.col("p.b") == F.col("b.node")).where(_may_link(percent)).select(
-            F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b")
-        ),
-        "likely",
-    )
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose wide parities allow the similarity."""
+        for batch in batches:
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            total, keep = batch.column(6).to_numpy(), np.zeros(batch.num_rows, dtype=bool)
+            for i in range(batch.num_rows):
+                u, v = np.frombuffer(x[i], np.uint8), np.frombuffer(y[i], np.uint8)
+                size = min(len(u), len(v))
+                differ = int(np.bitwise_count(folded(u, size) ^ folded(v, size)).sum())
+                keep[i] = differ * (100 + percent) <= total[i] * (100 - percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep))
+
+    met = pairs.alias("p").join(a, F.col("p.a") == F.col("a.node")).join(b, F.col("p.b") == F.col("b.node")).where(_may_link(percent))
+    met = met.select("p.a", "p.b", F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.col("a.wide").alias("wa"), F.col("b.wide").alias("wb"), F.col("a.n") + F.col("b.n"))
+    likely = written(met.mapInArrow(alike, LIKELY), "likely")
     wanted = likely.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("a").alias("node")), F.struct(F.col("doc_b").alias("doc_id"), F.col("b").alias("node")))).alias("w")).select("w.*").distinct()
     texts = likely_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted).join(wanted, "doc_id")
     sets = written(shingle_sets(texts, width), "sets")
@@ -224,8 +245,8 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     arrow_batches(spark)
     base = written(signed(docs, width, percent, _often(docs, width, percent)), "signed")
     linkable = base.where("n_shingles > 0 and doc_id is not null")
-    nodes = linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max(F.struct(*[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)])).alias("s"))
-    nodes = written(nodes.select("node", "doc_id", "n", F.array(*[f"s.s{i}" for i in range(SKETCH)]).alias("sketch")), "nodes")
+    nodes = linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max(F.struct(*[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)], "wide")).alias("s"))
+    nodes = written(nodes.select("node", "doc_id", "n", F.array(*[f"s.s{i}" for i in range(SKETCH)]).alias("sketch"), "s.wide"), "nodes")
     rows = written(linkable.select(F.explode("signatures").alias("signature"), "node").distinct(), "rows")
     shared = rows.groupBy("signature").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("signature")
     buckets = written(rows.join(shared, "signature"), "buckets")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, fresh, written
+from .common import arrow_batches, dropped, fresh, written
 
 BLOCK_WORDS = 1024
 MAX_REPEATS = 3
@@ -139,6 +139,7 @@ class Plan:
 
     def slot_table(self, spark, block: int, seed: int) -> DataFrame:
         """Every slot: its block, epoch, output shard and number of words."""
+        arrow_batches(spark)
         first = np.concatenate([[0], np.cumsum(self.slots)])
         share = np.cumsum(self.drawn, axis=0)
         plan = self
