@@ -221,5 +221,6 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), **options: int)
     key, times, copy = (fresh(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
     often = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
     wanted = taken.where("taken > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(often.alias(times)).where(F.col(times) > 0)
-    joined = docs.join(wanted, F.col("doc_id").cast("long") == F.col(key))
+    # what is wanted grows with the corpus: never broadcast it, at any size
+    joined = docs.join(wanted.hint("merge"), F.col("doc_id").cast("long") == F.col(key))
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)
