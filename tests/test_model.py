@@ -63,7 +63,7 @@ def test_versions_close_and_open_and_an_equal_snapshot_adds_nothing(spark):
     at = lambda d: F.lit(dt.datetime(2026, 1, d, tzinfo=dt.timezone.utc))
     v1 = model.asset_versions(spark.createDataFrame([asset("A"), asset("B"), asset("C")], ASSETS), at(1))
     second = spark.createDataFrame([asset("A", "B2"), asset("B"), asset("D")], ASSETS)
-    v2 = model.merge_versions(v1, second, at(2)).localCheckpoint()
+    v2 = model.merge_versions(v1, second, at(2)).cache()
     assert v2.count() == 5 and v2.where("is_current").count() == 4
     assert v2.where("is_current").groupBy("asset_id").count().where("count > 1").count() == 0
     old = v2.where("asset_id = 'A' and not is_current").first()
