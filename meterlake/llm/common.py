@@ -113,22 +113,27 @@ def likely_in(rows: DataFrame, ids: DataFrame, column: str = "doc_id", how: str
     return rows.join(F.broadcast(taken), slot(column) == F.col(name), how)
 
 
-#: Bits of :func:`bitmap`.
-BITMAP_BITS = 27
+#: Address bits of :func:`bitmap`, at least and at most: 128 KB to 128 MB.
+BITMAP_BITS = (20, 30)
 
 
-def bitmap(keys: DataFrame, column: str) -> Broadcast:
-    """A broadcast bitmap of ``BITMAP_BITS`` address bits (16 MB, however many keys) with the low bits of the keys set."""
-    place = F.col(column).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+def bitmap(keys: DataFrame, column: str, expected: int) -> Broadcast:
+    """A broadcast bitmap with the low bits of the keys set, of about 16 bits for each of the expected keys within ``BITMAP_BITS``.
+
+    However many keys there are, no more than the largest bitmap is gathered and broadcast; the fuller it
+    is, the more other keys pass it.
+    """
+    size = min(max(int(16 * expected).bit_length(), BITMAP_BITS[0]), BITMAP_BITS[1])
+    place = F.col(column).bitwiseAND(F.lit((1 << size) - 1))
     word = F.shiftright(place, 6)
     bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
     rows = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITMAP_BITS - 6), dtype=np.uint64)
+    bits = np.zeros(1 << (size - 6), dtype=np.uint64)
     bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
 def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which 64-bit keys may be among those of the bitmap; none of them is missed."""
-    place = keys.view(np.uint64) & np.uint64((1 << BITMAP_BITS) - 1)
+    place = keys.view(np.uint64) & np.uint64(64 * len(bits) - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0

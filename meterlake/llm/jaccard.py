@@ -17,7 +17,7 @@ still shares another one, and a set with more (e is chosen so that hardly any
 has) keeps them.  So no linked pair is lost.
 
 Plan.  All signatures are shuffled once, alone, to find those that more than one row
-has; a bitmap of fixed size then keeps the others from being shuffled again (if
+has; a bitmap of bounded size then keeps the others from being shuffled again (if
 it fills up, more pass, and the result is the same).  Equal sets are one node
 (their 64-bit fingerprint), so copies cost nothing.  In a bucket of nodes with one signature, all are compared with the
 smallest; what then lies in different components is compared pairwise.  Groups
@@ -45,6 +45,8 @@ from .text import mix, whole_hash, words_of
 SPARE = 2
 #: Smallest over largest size of a band: wider bands need more ranges, narrower ones more sets that sign twice.
 BAND = 0.7
+#: Signatures a text that other texts may have, as far as the bitmap's size is concerned.
+RECURRING = 24
 _U64 = np.uint64
 SKETCH = 4  # words of 64 parity cells
 SIGNED = "doc_id long, n_shingles long, node long, sketch array<long>, wide binary, signatures array<long>"
@@ -155,7 +157,7 @@ def _often(docs: DataFrame, width: int, percent: int) -> Broadcast:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs))], names=["signature"])
 
     signatures = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long")
-    return bitmap(signatures.groupBy("signature").count().where("count > 1"), "signature")
+    return bitmap(signatures.groupBy("signature").count().where("count > 1"), "signature", RECURRING * docs.count())
 
 
 def signed(docs: DataFrame, width: int, percent: int, often: Broadcast) -> DataFrame:
