@@ -260,6 +260,12 @@ _SELECTS = {
       WHERE n >= 3 AND ((z >= 2 AND p >= 10) OR w >= 20)""",
     "v_site_energy_daily": f"SELECT site_id, site_name, city, event_date, {_ROUND4('energy_kwh', 'baseline_kwh', 'energy_zscore', 'data_coverage_pct')}, coalesce(energy_zscore > 2, FALSE) AS is_energy_anomaly FROM site_daily",
     "v_asset_health": "SELECT asset_id, faults, alarms, high_severity_events, mtbf_hours, health_score, risk_band, asset_name, asset_type, site_id, building_id, descendant_count AS assets_downstream, connectivity_status FROM fault LEFT JOIN hier USING (asset_id)",
+    "v_silent_assets": """
+      SELECT asset_id, asset_name, site_id, building_id, last_at AS last_reading_at, n AS lifetime_readings, CASE WHEN last_at IS NULL THEN 'NEVER_REPORTED' ELSE 'SILENT' END AS status
+      FROM hier LEFT JOIN (SELECT asset_id, max(ts) AS last_at, count(*) AS n FROM telemetry GROUP BY 1) USING (asset_id) WHERE is_leaf AND (last_at IS NULL OR last_at < (SELECT max(ts) FROM telemetry) - INTERVAL 24 HOUR)""",
+    "silent_machines": """
+      SELECT asset_id, asset_name, asset_type, site_id, last_at AS last_reading, n AS total_readings, CASE WHEN last_at IS NULL THEN 'NEVER SENT ANYTHING' ELSE 'WENT QUIET' END AS status
+      FROM asset LEFT JOIN (SELECT asset_id, max(ts) AS last_at, count(*) AS n FROM telemetry GROUP BY 1) USING (asset_id) WHERE last_at IS NULL OR last_at < (SELECT max(ts) FROM telemetry) - INTERVAL 3 MINUTE""",
     "upsert_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS o_year FROM orders UNION ALL SELECT -o_orderkey, o_orderstatus, o_totalprice, CAST(year(o_orderdate) AS INTEGER) FROM orders WHERE o_orderkey % 100 = 1",
     "partition_overwrite": "SELECT CAST(ts AS DATE) AS event_date, count(*) AS n, round(sum(power_consumption) * CASE WHEN CAST(ts AS DATE) = DATE '2024-01-10' THEN 2 ELSE 1 END, 4) AS power FROM telemetry GROUP BY CAST(ts AS DATE)",
     "restate_late": "SELECT event_date, round(sum(energy_kwh), 4) AS energy_kwh, count(*) AS assets FROM utilization WHERE event_date IN (SELECT CAST(ts AS DATE) FROM telemetry WHERE ingest_date > CAST(ts AS DATE)) GROUP BY event_date",

@@ -351,6 +351,16 @@ def v_asset_health(e: Estate) -> DataFrame:
     return e.faults.select("asset_id", "faults", "alarms", "high_severity_events", "mtbf_hours", "health_score", "risk_band").join(named, "asset_id", "left")
 
 
+@_registered
+def v_silent_assets(e: Estate) -> DataFrame:
+    return _report("silent_leaves", e)
+
+
+@_registered
+def silent_machines(e: Estate) -> DataFrame:
+    return _report("silent_machines", e)
+
+
 # --- tables
 
 
