@@ -395,7 +395,7 @@ def restate_late(e: Estate) -> DataFrame:
 
     late = with_lateness(e.telemetry)
     dates = tables.late_dates(late.withColumn("event_date", F.to_date("timestamp")))
-    return e.utilization.join(F.broadcast(dates), "event_date", "left_semi").groupBy("event_date").agg(F.round(F.sum("energy_kwh"), 4).alias("energy_kwh"), F.count("*").alias("assets"))
+    return e.utilization.join(dates, "event_date", "left_semi").groupBy("event_date").agg(F.round(F.sum("energy_kwh"), 4).alias("energy_kwh"), F.count("*").alias("assets"))
 
 
 @_registered

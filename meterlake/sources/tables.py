@@ -76,7 +76,7 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
         # partitions to rewrite: those of the source, and those that hold a key of the source
         holds = target.join(source.select(*keys), same(target, source, keys), "left_semi").select(*partition_by)
         touched = source.select(*partition_by).union(holds).distinct()
-        kept = target.join(F.broadcast(touched), same(target, touched, partition_by), "left_semi")
+        kept = target.join(touched, same(target, touched, partition_by), "left_semi")
     else:
         kept = target
     kept = kept.join(source, same(kept, source, keys), "left_anti")
