@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, dropped, fresh, written
+from .common import arrow_batches, dropped, fresh, uniform, written
 
 BLOCK_WORDS = 1024
 MAX_REPEATS = 3
@@ -211,16 +211,34 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int =
     return some.select(columns).unionByName(nothing.select(columns)), slots
 
 
+def _whole_copies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``times``, their ``share`` (words taken over ``size``) rounded to whole copies so that sources meet their targets.
+
+    The fractions are rounded by systematic sampling, in the order of sizes
+    within buckets of a source: the chance of one copy more is the fraction, and in a
+    bucket the words differ from those taken by less than two of its largest documents.
+    """
+    buckets = max(1, rows.count() // BUCKET_ROWS)
+    bucket = F.pmod(F.xxhash64(F.lit(SEED), "key"), F.lit(buckets))
+    rows = rows.withColumns({"bucket": bucket, "rest": F.col("share") - F.floor("share")})
+    inside = Window.partitionBy("of", "bucket").orderBy("size", F.xxhash64(F.lit(SEED + 1), "key"), "key")
+    first = uniform(F.struct("of", "bucket"), SEED)
+    to = first + F.sum("rest").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    since = first + F.coalesce(F.sum("rest").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.withColumn("times", (F.floor("share") + F.floor(to) - F.floor(since)).cast("int"))
+
+
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), **options: int) -> DataFrame:
-    """``docs``, all columns, as the mix takes them: a row stands as often as its words are taken, to the nearest whole number (half: up).
+    """``docs``, all columns, as the mix takes them: a row stands as often as its words are taken, its fraction of a copy rounded by :func:`_whole_copies`.
 
     Rows that share a ``doc_id`` stand as often as they are taken together,
     shared out evenly.  Rows with a null id, or without words, are not taken.
     """
     taken, _ = mixture(docs, weights, **options)
     key, times, copy = (fresh(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
-    often = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
-    wanted = taken.where("taken > 0 and doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(often.alias(times)).where(F.col(times) > 0)
+    rows = taken.where("size > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("key"))
+    rows = rows.agg(F.min("source").alias("of"), F.sum("size").alias("size"), (F.sum("taken") / F.sum("size")).alias("share")).where("share > 0")
+    wanted = _whole_copies(written(rows, "shares")).where("times > 0").select(F.col("key").alias(key), F.col("times").alias(times))
     # what is wanted grows with the corpus: never broadcast it, at any size
     joined = docs.join(wanted.hint("merge"), F.col("doc_id").cast("long") == F.col(key))
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)

@@ -102,3 +102,18 @@ def test_odd_and_no_documents(spark):
     kept = mixing.mixed(docs, block=16)
     assert kept.columns == docs.columns and kept.where("text is null or doc_id is null").count() == 0
     assert mixing.mixture(no_documents(spark))[0].count() == 0 and mixing.mixed(no_documents(spark)).count() == 0
+
+
+def test_whole_documents_meet_the_targets(spark):
+    """A hot source of documents of 20,000 words, of which the mix takes 0.15, among sources taken 0.7 to 2.1 times."""
+    from pyspark.sql import functions as F
+
+    numbers = [(i, 1 if i < 60 else 2 + i % 19) for i in range(60 + 19 * 40)]
+    docs = spark.createDataFrame(numbers, "doc_id long, n int").select("doc_id", F.when(F.col("n") == 1, F.lit("s01")).otherwise(F.format_string("s%02d", F.when(F.col("n") == 2, 0).otherwise(F.col("n")))).alias("source"), F.expr("repeat('word ', if(n = 1, 20000, 3158))").alias("text"))
+    taken, _ = mixing.mixture(docs)
+    targets = {r.source: r for r in taken.groupBy("source").agg(F.first("target").alias("target"), F.max("size").alias("largest"), F.sum("size").alias("size")).collect()}
+    got = {r.source: r.words for r in mixing.mixed(docs).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("words")).collect()}
+    assert len(targets) == 20 and 0.14 < targets["s01"].target / targets["s01"]["size"] < 0.16
+    assert all(abs(got.get(k, 0) - t.target) < 2 * t.largest for k, t in targets.items())
+    again = mixing.mixed(docs.repartition(7)).groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, mixing.mixed(docs).groupBy("doc_id").count().collect()))
