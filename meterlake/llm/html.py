@@ -7,8 +7,8 @@ visible text: blocks on lines of their own, paragraphs, lists, tables and
 headings set apart by an empty line, list items marked and indented, table cells
 in aligned columns, preformatted text as it is.  What a reader of the page
 doesn't see is left out: the head, scripts and styles, templates, comments,
-elements hidden by attribute, by inline style or by a plain rule of the page's
-own style sheet, closed details and dialogs, and all options of a list but the selected one.
+elements hidden by attribute, by inline style or by the plain rules of the page's
+own style sheets as they apply to a screen, closed details and dialogs, and all options of a list but the selected one.
 """
 
 from __future__ import annotations
@@ -54,6 +54,19 @@ P_SCOPE = frozenset("table td th caption button html".split())
 END_SCOPE = frozenset("table td th caption".split())
 #: Open elements at most; what lies deeper has no layout of its own, as in browsers.
 DEEPEST = 512
+#: The screen that pages are seen on, in CSS pixels, and what else its media queries may ask; what isn't listed is not known.
+SCREEN = {"width": 1280.0, "height": 720.0}
+UNITS = {None: 1.0, "px": 1.0, "em": 16.0, "rem": 16.0, "pt": 4 / 3, "cm": 96 / 2.54, "in": 96.0}
+FEATURES = {
+    "orientation:landscape": True, "orientation:portrait": False, "prefers-color-scheme:light": True, "prefers-color-scheme:dark": False,
+    "prefers-reduced-motion:no-preference": True, "prefers-reduced-motion:reduce": False, "prefers-reduced-motion": False, "hover": True, "hover:hover": True, "hover:none": False,
+    "pointer": True, "pointer:fine": True, "pointer:coarse": False, "pointer:none": False, "any-hover:hover": True, "any-pointer:fine": True, "color": True, "monochrome": False, "grid": False,
+}
+#: Valid values of ``display`` by their first word, and of ``visibility``.
+VALUES = {
+    "display": frozenset("none block inline inline-block flex inline-flex grid inline-grid flow flow-root contents list-item run-in ruby math table inline-table table-row table-cell table-caption table-column table-column-group table-row-group table-header-group table-footer-group -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex inherit initial unset revert revert-layer".split()),
+    "visibility": frozenset("visible hidden collapse inherit initial unset revert revert-layer".split()),
+}
 #: Widest column that cells are padded to.
 WIDEST = 60
 
@@ -61,9 +74,11 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)
 _UNENDED = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
-_SEEN = re.compile(r"visibility\s*:\s*visible")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|url\([^)"']*\)|\\.|[{};]|(?:(?!url\(|<!--|-->|/\*)[^{};"'\\])+|\\""", re.S | re.I)
+_STYLE = re.compile(r"<style", re.I)
+_MEDIUM = re.compile(r"(?:(not|only) )?([a-z][-a-z]*)(?: and |$)")
+_LENGTH = r"([\d.]+)(px|em|rem|pt|cm|in)?"
+_EXTENT = re.compile(rf"\( ?(?:(min-|max-)?(?:device-)?(width|height) ?: ?{_LENGTH}|(?:{_LENGTH} ?(<=?|>=?) ?)?(width|height)(?: ?(<=?|>=?|=) ?{_LENGTH})?) ?\)")
 _SIMPLE = re.compile(r"^([a-zA-Z][a-zA-Z0-9]*)?([.#][-\w]+)?$")
 
 Event = tuple[str, str, dict[str, str]]
@@ -235,11 +250,152 @@ def _span(attributes: dict[str, str]) -> int:
     return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 6 else 1
 
 
+class _Rules(dict[str, dict[str, tuple]]):
+    """By selector and property: the rank of the winning rule, and its value."""
+
+    count = 0
+
+
+def _compared(a: float, sign: str, b: float) -> bool:
+    return a < b if sign == "<" else a <= b if sign == "<=" else a > b if sign == ">" else a >= b if sign == ">=" else a == b
+
+
+def _feature(text: str) -> bool | None:
+    """Whether the screen has a feature; None: not known."""
+    m = _EXTENT.fullmatch(text)
+    if m is None:
+        return FEATURES.get(re.sub(r"[() ]", "", text)) if text[:1] == "(" and text[-1:] == ")" and text.count("(") == 1 else None
+    try:
+        if m[2]:
+            return _compared(SCREEN[m[2]], {"min-": ">=", "max-": "<=", None: "="}[m[1]], float(m[3]) * UNITS[m[4]])
+        if m[5] and not _compared(float(m[5]) * UNITS[m[6]], m[7], SCREEN[m[8]]):
+            return False
+        return not m[9] or _compared(SCREEN[m[8]], m[9], float(m[10]) * UNITS[m[11]])
+    except ValueError:
+        return None
+
+
+def _on_screen(media: str) -> bool:
+    """Whether a list of media queries surely applies to the screen."""
+    for query in media.lower().split(",") if media.strip() else ():
+        query = " ".join(query.split())
+        m = _MEDIUM.match(query)
+        if m:
+            turned, answers, rest = m[1] == "not", [m[2] in ("screen", "all")], query[m.end() :]
+        else:
+            turned, answers, rest = query[:4] == "not ", [], query.removeprefix("not ")
+        if rest and " or " in rest:
+            parts = [_feature(p) for p in rest.split(" or ")]
+            answers.append(True if True in parts else None if None in parts else False)
+        elif rest or not m:
+            answers += [_feature(p) for p in rest.split(" and ")]
+        answer = False if False in answers else None if None in answers else True
+        if answer is not None and answer != turned:
+            return True
+    return not media.strip()
+
+
+def _declared(text: str) -> tuple[str, str, bool] | None:
+    """Property, value and importance of a valid declaration of display or visibility."""
+    name, _, value = text.partition(":")
+    name, value = name.strip().lower(), value.strip().lower()
+    important = value.endswith("!important") or value.endswith("! important")
+    value = value.rpartition("!")[0].strip() if important else value
+    return (name, value, important) if name in VALUES and value and value.split()[0] in VALUES[name] else None
+
+
+def _inline(style: str) -> Iterator[tuple[str, str, bool]]:
+    return filter(None, map(_declared, re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S).split(";")))
+
+
+def _add_rules(sheet: str, rules: _Rules) -> None:
+    """Add what the plain rules of a style sheet say on the screen."""
+    # of each open block: selectors (None: not in a rule), whether it applies, whether in a layer
+    stack: list[tuple[list[str] | None, bool, bool]] = [(None, True, False)]
+    piece: list[str] = []
+
+    def declare() -> None:
+        selectors, applies, layered = stack[-1]
+        found = _declared("".join(piece)) if selectors and applies else None
+        if found:
+            name, value, important = found
+            for s in selectors:
+                own = rules.setdefault(s, {})
+                rank = (important, layered == important, "#" in s, "." in s, s[0] not in "#.", rules.count)
+                if name not in own or rank > own[name][0]:
+                    own[name] = (rank, value)
+            rules.count += 1
+
+    for token in _CSS.findall(sheet):
+        selectors, applies, layered = stack[-1]
+        if token[:2] == "/*" or token in ("<!--", "-->"):
+            continue
+        if token == "{":
+            prelude, piece = "".join(piece).strip(), []
+            at = re.match(r"@([-\w]+)(.*)", prelude, re.S)
+            if at:
+                kind = at[1].lower()
+                applies = applies and (_on_screen(at[2]) if kind == "media" else not re.search(r"\bnot\b", at[2].lower()) if kind == "supports" else kind == "layer")
+                stack.append((selectors, applies, layered or kind == "layer"))
+            elif selectors is None:
+                names = [s.strip() for s in prelude.split(",")]
+                valid = all(names) and not set(prelude) & set(";}")  # one that isn't makes the whole rule void
+                simple = [_SIMPLE.match(s) for s in names] if valid else []
+                stack.append(([(m[1] or "").lower() + (m[2] or "") for m in simple if m], applies, layered))
+            else:
+                stack.append(([], applies, layered))  # a nested rule isn't a plain one
+        elif token == "}" and len(stack) > 1:
+            declare()
+            stack.pop()
+            piece = []
+        elif token == ";" and (selectors is not None or "".join(piece).lstrip()[:1] == "@"):
+            declare()
+            piece = []
+        else:
+            piece.append(token)
+    declare()
+
+
+def _sheets(found: list[Event]) -> _Rules:
+    """The rules of all style sheets of a page, wherever they stand."""
+    rules = _Rules()
+    inert, media = 0, None
+    for kind, name, attributes in found:
+        if kind == "open":
+            inert += name == "template"
+            media = attributes.get("media", "") if name == "style" else None
+        elif kind == "close":
+            inert -= name == "template"
+        elif kind == "raw" and media is not None and not inert and _on_screen(media):
+            _add_rules(name, rules)
+    return rules
+
+
+def _said(name: str, attributes: dict[str, str], rules: _Rules, style: str) -> dict[str, str]:
+    """Display and visibility of an element as its own style and the page's plain rules say, by importance, specificity and order."""
+    best: dict[str, tuple] = {}
+    if rules:
+        tests = {name, *(f"{p}.{c}" for c in attributes.get("class", "").split() for p in ("", name)), *(f"{p}#{attributes['id']}" for p in ("", name) if "id" in attributes)}
+        for t in tests & rules.keys():
+            for key, own in rules[t].items():
+                best[key] = max(best.get(key, own), own)
+    for key, value, important in _inline(style):
+        if key not in best or important or not best[key][0][0]:
+            own = ((important, True, True, True, True, float("inf")), value)
+            if key not in best or own[0] >= best[key][0]:
+                best[key] = own
+    return {key: value for key, (_, value) in best.items()}
+
+
 def render(page: str | None) -> str:
     """All visible text of a page."""
     if not page:
         return ""
-    hidden_by: set[str] = set()
+    found = events(page)
+    rules = _Rules()
+    if _STYLE.search(page):
+        found = list(found)
+        rules = _sheets(found)
     flow, flows = _Flow(), []
     tables: list[list[list[tuple[list[str], int]]]] = []
     # of each open element: tag, not displayed, hidden, and what to undo at its end
@@ -247,7 +403,7 @@ def render(page: str | None) -> str:
     pre = 0
     lists: list[int | None] = []
     select: list[list[tuple[bool, str]]] = []
-    for kind, name, attributes in events(page):
+    for kind, name, attributes in found:
         gone, unseen = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if kind == "text":
             if gone or unseen or (stack and stack[-1][3] == "closed"):
@@ -265,23 +421,21 @@ def render(page: str | None) -> str:
             else:
                 flow.text(name)
         elif kind == "raw":
-            if stack[-1][0] == "style":
-                for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", name, flags=re.S)):
-                    if _HIDING.search(body.lower()):
-                        hidden_by.update(s.strip() for s in selectors.split(",") if _SIMPLE.match(s.strip()))
-            elif stack[-1][0] in ("textarea", "xmp") and not (gone or unseen):
+            if stack[-1][0] in ("textarea", "xmp") and not (gone or unseen):
                 flow.text(unescape(name) if stack[-1][0] == "textarea" else name)
         elif kind == "open":
-            style = attributes.get("style", "").lower()
-            own_gone = gone or name in UNSEEN or "hidden" in attributes or (name == "input" and attributes.get("type", "").lower() == "hidden") or (name == "dialog" and "open" not in attributes)
+            style = attributes.get("style", "")
+            said = _said(name, attributes, rules, style) if rules or style else {}
+            own_gone = gone or name in UNSEEN or (name == "input" and attributes.get("type", "").lower() == "hidden")
             if not own_gone and stack and stack[-1][0] == "details" and stack[-1][3] == "closed" and name != "summary":
                 own_gone = True
-            if not own_gone and (hidden_by or style):
-                tests = {name, *(f"{p}.{c}" for c in attributes.get("class", "").split() for p in ("", name)), *(f"{p}#{attributes['id']}" for p in ("", name) if "id" in attributes)}
-                own_gone = bool(hidden_by & tests) or bool(re.search(r"display\s*:\s*none", style))
-            if style and re.search(r"visibility\s*:\s*(?:hidden|collapse)", style):
+            if "display" in said:
+                own_gone = own_gone or said["display"] == "none"
+            else:
+                own_gone = own_gone or "hidden" in attributes or (name == "dialog" and "open" not in attributes)
+            if said.get("visibility") in ("hidden", "collapse"):
                 unseen = True
-            elif style and _SEEN.search(style):
+            elif said.get("visibility") in ("visible", "initial"):
                 unseen = False
             undo = None
             if name == "details" and "open" not in attributes:

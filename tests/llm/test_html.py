@@ -102,3 +102,35 @@ def test_odd_and_no_pages(spark):
     got = sorted(((r.page_id, r.text) for r in html.rendered(pages).collect()), key=lambda r: (str(r[0]), len(r[1] or "")))
     assert [(i, t if t is None or len(t) < 9 else len(t)) for i, t in got] == [(1, None), (2, ""), (2, 5 * 300_000 - 1), (3, ""), (None, "x")]
     assert html.rendered(pages.where("false")).count() == 0
+
+
+def styled(css, body, media=""):
+    return html.render(f"<head><style{media}>{css}</style></head><body>{body}").split()
+
+
+def test_print_and_narrow_rules_hide_nothing_on_screen():
+    assert styled("@media print { body { display:none } }", "<p>yes") == ["yes"]
+    assert styled("@media print { nav, main { display:none } } .n{display:none}", "<nav>yes</nav><main>yes</main><p class=n>no") == ["yes", "yes"]
+    for media in ("print", "only screen and (max-width: 600px)", "(max-width:40em)", "not screen", "speech, print and (color)", "(width <= 600px)", "(100px <= width < 600px)", "(orientation: portrait)", "(made-up)", "not (made-up)"):
+        assert styled(f"@media {media} {{ .x {{display:none}} }}", "<p class=x>yes") == ["yes"], media
+    for media in ("screen", "all", "print, screen", "not print", "(min-width: 768px)", "only screen and (min-width:48em) and (max-width: 2000px)", "(width > 600px)", "not (max-width: 600px)", "(hover) or (made-up)"):
+        assert styled(f"@media {media} {{ .x {{display:none}} }}", "<p class=x>no") == [], media
+        assert styled(f"@media print {{ @media {media} {{ .x {{display:none}} }} }}", "<p class=x>yes") == ["yes"], media
+    assert styled(".x{display:none}", "<p class=x>yes", " media=print") == ["yes"]
+    assert styled("@media print { p{color:red} .x{display:none} } .y{display:none}", "<p class=x>yes<p class=y>no") == ["yes"]
+    assert styled("p { color:red; @media print { display:none } } @font-face{src:url(a;b{c)} @keyframes k{from{display:none}} i{display:none}", "<p>yes<i>no</i>") == ["yes"]
+
+
+def test_rules_win_by_importance_specificity_and_order():
+    assert styled(".x{display:none} .x{display:block}", "<p class=x>yes") == ["yes"]
+    assert styled(".x{display:block} .x{display:none}", "<p class=x>no") == []
+    assert styled(".x{display:none !important} .x{display:block}", "<p class=x>no") == []
+    assert styled("#a{display:block} .x{display:none} p{display:none}", "<p class=x id=a>yes<p>no") == ["yes"]
+    assert styled(".x{display:none} @media screen{.x{display:flex}} @media print{.x{display:none}}", "<p class=x>yes") == ["yes"]
+    assert styled(".x{display:none;display:nonsense}", "<p class=x>no") == []
+    assert styled(".x{visibility:hidden} .y{visibility:visible}", "<p class=x>no<b class=y>yes</b>") == ["yes"]
+    assert styled(".x{display:none}", "<p class=x style='display:block'>yes") == ["yes"]
+    assert styled(".x{display:none!important}", "<p class=x style='display:block'>no") == []
+    assert styled("[hidden]{color:red} .x{display:block}", "<p class=x hidden>yes<p hidden>no") == ["yes"]
+    assert html.render("<p class=x>yes</p><style>.x{display:none}</style><style>.x{display:block}</style>") == "yes"
+    assert styled("/* } */ a:after{content:'}.x{display:none}'} p{color:red", "<p class=x>yes") == ["yes"]
