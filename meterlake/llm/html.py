@@ -6,7 +6,8 @@ renderer walks them with explicit stacks (no recursion, whatever the depth) and
 visible text: blocks on lines of their own, paragraphs, lists, tables and
 headings set apart by an empty line, list items marked and indented, table cells
 in aligned columns, preformatted text as it is.  What a reader of the page
-doesn't see is left out: the head, scripts and styles, templates, comments,
+doesn't see is left out (of drawings and formulas their text elements, foreign
+objects and symbols are seen; what ``use`` draws again isn't repeated): the head, scripts and styles, templates, comments,
 elements hidden by attribute, by inline style or by the plain rules of the page's
 own style sheets as they apply to a screen, closed details and dialogs, and all options of a list but the selected one.
 """
@@ -14,6 +15,7 @@ own style sheets as they apply to a screen, closed details and dialogs, and all
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -30,8 +32,13 @@ CLOSES_P = frozenset("address article aside blockquote center dd details dialog
 BLOCKS = CLOSES_P | frozenset("html body caption legend optgroup option td th tr tbody thead tfoot".split())
 MARGINS = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-UNSEEN = frozenset("head script style template title datalist audio video canvas object iframe noembed noframes svg math".split())
+UNSEEN = frozenset("head script style template title datalist audio video canvas object iframe noembed noframes".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
+#: Inside svg and math: what isn't drawn, what holds HTML again, the HTML that ends them, and parts of formulas that stand apart.
+UNDRAWN = frozenset("defs symbol desc metadata title clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+ENDS_DRAWING = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+APART = frozenset("mfrac msup msub msubsup munder mover munderover mroot mtable mtr".split())
 CELLS = frozenset("td th".split())
 
 #: What a start tag ends, and the elements beyond which it ends nothing.
@@ -73,6 +80,7 @@ WIDEST = 60
 _TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.S)
 _UNENDED = re.compile(r"</?[a-zA-Z][^>]*\Z")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|url\([^)"']*\)|\\.|[{};]|(?:(?!url\(|<!--|-->|/\*)[^{};"'\\])+|\\""", re.S | re.I)
 _STYLE = re.compile(r"<style", re.I)
@@ -92,11 +100,32 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def events(page: str) -> Iterator[Event]:
-    """Nested ("open", tag, attributes), ("close", tag, {}), ("text", text, {}) and ("raw", content, {}) events of a page."""
+    """Nested ("open", tag, attributes), ("close", tag, {}), ("text", text, {}) and ("raw", content, {}) events of a page.
+
+    An element beyond ``DEEPEST`` is closed at once; ("within", tag, attributes) and ("without", tag, {}) events enclose its content.
+    """
     stack: list[str] = []
+    deep: list[str] = []  # open elements beyond the deepest of the stack
+    counts: Counter[str] = Counter()  # of them
     at, size, lower = 0, len(page), None
 
+    def rise(position: int) -> Iterator[Event]:
+        while len(deep) > position:
+            counts[deep[-1]] -= 1
+            yield "without", deep.pop(), {}
+
+    def ended(wanted: frozenset[str], stop: frozenset[str] = frozenset()) -> Iterator[Event]:
+        """End the innermost wanted element among the deep ones near the end."""
+        if deep and any(counts[t] for t in wanted):
+            for i in range(len(deep) - 1, max(len(deep) - DEEPEST, 0) - 1, -1):
+                if deep[i] in wanted:
+                    yield from rise(i)
+                    break
+                if deep[i] in stop:
+                    break
+
     def pop_to(position: int) -> Iterator[Event]:
+        yield from rise(0)
         while len(stack) > position:
             yield "close", stack.pop(), {}
 
@@ -125,6 +154,10 @@ def events(page: str) -> Iterator[Event]:
             if tag == "br":
                 yield "open", "br", {}
                 yield "close", "br", {}
+            elif counts[tag]:
+                while deep[-1] != tag:
+                    yield from rise(len(deep) - 1)
+                yield from rise(len(deep) - 1)
             elif tag in HEADINGS:
                 i = find(HEADINGS, END_SCOPE)
                 yield from pop_to(i) if i >= 0 else ()
@@ -139,6 +172,22 @@ def events(page: str) -> Iterator[Event]:
                         break
         elif m[2]:
             tag, attributes = m[2].lower(), _attributes(m[3]) if m[3] else {}
+            drawing = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] in ("svg", "math") or stack[i] in HOLDS_HTML), -1) if "svg" in stack or "math" in stack else -1
+            if drawing >= 0 and stack[drawing] in HOLDS_HTML:
+                drawing = -1
+            if drawing >= 0 and tag in ENDS_DRAWING:
+                yield from pop_to(drawing)
+                drawing = -1
+            if drawing >= 0 or (tag in ("svg", "math") and m[3]):
+                if m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+                    yield "open", tag, attributes
+                    yield "close", tag, {}
+                    continue
+            if deep and drawing < 0:
+                if tag in CLOSES_P:
+                    yield from ended(frozenset(["p"]), P_SCOPE)
+                if tag in ENDS:
+                    yield from ended(*ENDS[tag])
             if tag in CLOSES_P and "p" in stack:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i] == "p":
@@ -163,9 +212,9 @@ def events(page: str) -> Iterator[Event]:
             if "head" in stack and tag not in VOID and tag not in RAW and tag not in ("template", "noscript", "head"):
                 yield from pop_to(stack.index("head"))  # content begins
             yield "open", tag, attributes
-            if tag in VOID or len(stack) >= DEEPEST:
+            if tag in VOID:
                 yield "close", tag, {}
-            elif tag in RAW:
+            elif tag in RAW and (drawing < 0 or tag in ("script", "style")):
                 if lower is None:
                     lower = page.lower()
                     if len(lower) != size:
@@ -176,6 +225,11 @@ def events(page: str) -> Iterator[Event]:
                 yield "close", tag, {}
                 close = page.find(">", end)
                 at = size if close < 0 else close + 1
+            elif len(stack) >= DEEPEST:
+                yield "close", tag, {}
+                deep.append(tag)
+                counts[tag] += 1
+                yield "within", tag, attributes
             else:
                 stack.append(tag)
     yield from pop_to(0)
@@ -398,15 +452,15 @@ def render(page: str | None) -> str:
         rules = _sheets(found)
     flow, flows = _Flow(), []
     tables: list[list[list[tuple[list[str], int]]]] = []
-    # of each open element: tag, not displayed, hidden, and what to undo at its end
+    # of each open element: tag, not displayed, hidden, what to undo at its end, and whether text is drawn (None: not inside svg)
     stack: list[tuple] = []
     pre = 0
     lists: list[int | None] = []
     select: list[list[tuple[bool, str]]] = []
     for kind, name, attributes in found:
-        gone, unseen = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        gone, unseen, drawn = (stack[-1][1], stack[-1][2], stack[-1][4]) if stack else (False, False, None)
         if kind == "text":
-            if gone or unseen or (stack and stack[-1][3] == "closed"):
+            if gone or unseen or drawn is False or (stack and stack[-1][3] == "closed"):
                 continue
             if stack and (stack[-1][0] == "table" or stack[-1][0] in SECTIONS or stack[-1][0] == "tr"):
                 if not name.strip():
@@ -421,14 +475,26 @@ def render(page: str | None) -> str:
             else:
                 flow.text(name)
         elif kind == "raw":
-            if stack[-1][0] in ("textarea", "xmp") and not (gone or unseen):
+            if stack[-1][0] in ("textarea", "xmp") and not (gone or unseen or drawn is False):
                 flow.text(unescape(name) if stack[-1][0] == "textarea" else name)
-        elif kind == "open":
+        elif kind == "without":
+            if not stack.pop()[1] and name in BLOCKS:
+                flow.block(False)
+        elif kind in ("open", "within"):
             style = attributes.get("style", "")
             said = _said(name, attributes, rules, style) if rules or style else {}
             own_gone = gone or name in UNSEEN or (name == "input" and attributes.get("type", "").lower() == "hidden")
             if not own_gone and stack and stack[-1][0] == "details" and stack[-1][3] == "closed" and name != "summary":
                 own_gone = True
+            if name == "svg":
+                drawn = False
+            elif drawn is not None:
+                own_gone = own_gone or name in UNDRAWN or ("display" not in said and attributes.get("display") == "none")
+                if attributes.get("visibility") in VALUES["visibility"]:
+                    said.setdefault("visibility", attributes["visibility"])
+                drawn = drawn or name in ("text", "foreignobject")
+            elif name in UNDRAWN and any(s[0] == "math" for s in stack):
+                own_gone = True
             if "display" in said:
                 own_gone = own_gone or said["display"] == "none"
             else:
@@ -440,7 +506,12 @@ def render(page: str | None) -> str:
             undo = None
             if name == "details" and "open" not in attributes:
                 undo = "closed"
+            if kind == "within":
+                stack.append(("" if name == "table" or name in SECTIONS or name == "tr" else name, own_gone, unseen, undo, drawn))
+                continue
             if not own_gone:
+                if (drawn and name == "text") or (stack and stack[-1][0] in APART):
+                    flow.pending = True
                 if name == "br":
                     if flow.piece or pre:
                         flow.line("".join(flow.piece))
@@ -479,11 +550,13 @@ def render(page: str | None) -> str:
                     flows.append(flow)
                     flow = _Flow()
                     select.append([])
-            stack.append((name, own_gone, unseen, undo))
+            stack.append((name, own_gone, unseen, undo, drawn))
         else:
-            tag, own_gone, _, undo = stack.pop()
+            tag, own_gone, _, undo, drawn = stack.pop()
             if own_gone:
                 continue
+            if drawn and tag == "text":
+                flow.pending = True
             if tag in CELLS:
                 lines, flow = flow.done(), flows.pop()
                 pre, lists, span = undo

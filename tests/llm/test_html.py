@@ -134,3 +134,20 @@ def test_rules_win_by_importance_specificity_and_order():
     assert styled("[hidden]{color:red} .x{display:block}", "<p class=x hidden>yes<p hidden>no") == ["yes"]
     assert html.render("<p class=x>yes</p><style>.x{display:none}</style><style>.x{display:block}</style>") == "yes"
     assert styled("/* } */ a:after{content:'}.x{display:none}'} p{color:red", "<p class=x>yes") == ["yes"]
+
+
+def test_labels_of_drawings_and_formulas_are_seen():
+    page = """a <svg width=9><title>no</title><desc>no</desc><style>.s{display:none}</style><defs><text>no</text></defs>no<g><rect/><text x=1>one</text><path d="M0 0/"/>
+    <text><tspan>two</tspan></text><text class=s>no</text><text visibility="hidden">no</text></g><foreignObject><p>three</p></foreignObject></svg> b"""
+    assert html.render(page).split() == ["a", "one", "two", "three", "b"]
+    assert html.render("<svg><title/><text>x</text><script/></svg>y<svg/>z").split() == ["x", "yz"]
+    assert html.render("<svg><path d='M0'><p>out of it") == "out of it"
+    assert html.render("so <math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>no</annotation></semantics></math>.") == "so x= 1 2."
+    assert html.render("<p hidden><svg><text>no</text></svg></p><p><desc>yes</desc><text>yes</text>") == "yesyes"
+
+
+def test_what_is_not_seen_stays_unseen_at_any_depth():
+    for n in (0, 510, 511, 512, 513, 2_000):
+        page = "<b>" * n + "<script>no()</script><style>.n{display:none}</style><i hidden>no<u>no</u></i>a <i class=n>no</i><i style='visibility:hidden'>no<u style='visibility:visible'>b</u></i><details>no<summary> c</summary>no</details><textarea>d</textarea>"
+        assert html.render(page + "<p hidden>no<p> e<div hidden><p>no</div></b> f").split() == ["a", "b", "c", "d", "e", "f"], n
+    assert html.render("<div>" * 50_000 + "x" + "</b>" * 50_000 + "</div>" * 50_000 + "y").split() == ["x", "y"]
