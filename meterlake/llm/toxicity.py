@@ -224,7 +224,9 @@ def _values(w: Words, array: HashArray, scores: np.ndarray) -> np.ndarray:
     for length in STEMS:
         at, hashes = w.prefixes(length)
         value[at] = np.maximum(value[at], padded[array.find(hashes)])
-    value[1:][w.hashes[1:] == w.hashes[:-1]] = PENALTY  # a token said again is no further evidence
+    again = np.append(False, w.hashes[1:] == w.hashes[:-1])[: len(value)]
+    again[w.bounds[:-1][w.bounds[:-1] < len(value)]] = False  # the text before may end with a text's first token
+    value[again] = PENALTY  # a token said again is no further evidence
     return value
 
 

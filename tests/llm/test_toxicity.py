@@ -73,3 +73,17 @@ def test_odd_and_no_tables(spark):
     for none in (labels.where("false"), labels.where("toxic = 0")):
         blank = toxicity.fit(docs, none)
         assert len({r.score for r in toxicity.scores(docs, blank).collect()}) == 1
+
+
+def test_equal_texts_score_alike_wherever_they_stand(spark):
+    rows = [(i, "quiet words about the weather and " * 3 + ("you rotten vile toad " if i % 4 == 0 else "my good old friend ") + "who sat by the door all day") for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    texts = ["toad"] * 5 + ["", "toad", None, "toad"] + ["toad among the words, toad"] * 5 + ["toad toad"] * 2 + [""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    evidence = {}
+    for r in toxicity.scores(docs, model).collect():
+        evidence.setdefault(texts[r.doc_id], []).append(r.evidence)
+    assert all(len(set(e)) == 1 and (e[0] > 0) == bool(t) for t, e in evidence.items()), evidence
+    assert evidence["toad toad"][0] < evidence["toad"][0]
+    assert len({r.segment_score for r in toxicity.passages(docs.where("text = 'toad'"), model).collect()}) == 1
+    assert toxicity.passages(docs.where("text = 'toad'"), model).count() == 7
