@@ -243,6 +243,11 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     differ in text are separate sets under one name: each gets the component of
     its own text.  Equal texts are always linked.  An empty table gives none.
     """
+    return _grouped(docs, width, percent).drop("node")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """:func:`jaccard_groups` with the ``node`` of each row, null without words or id."""
     spark = docs.sparkSession
     arrow_batches(spark)
     base = written(signed(docs, width, percent, _often(docs, width, percent)), "signed")
@@ -273,22 +278,43 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     named = labels.join(names, "label").select("node", "component_id")
     dropped(buckets, placed)
     own = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    return own.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return own.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+
+
+def _nodes(rows: DataFrame, width: int) -> DataFrame:
+    """``doc_id, text_hash, node`` of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = [fingerprint(own) if len(own) else None for own in text_sets(batch.column(2), width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.int64())], names=["doc_id", "text_hash", "node"])
+
+    arrow_batches(rows.sparkSession)
+    return rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text_hash long, node long")
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their group: those with its smallest ``doc_id``.
 
-    Rows with a null id or without words stay.  Rows that share a ``doc_id``
-    stand or fall together, and equal texts among them are one.
+    Rows with a null id or without words stay.  Of rows that share a ``doc_id``
+    each stays or goes with the group of its own text, and equal texts among them are one.
     """
-    groups = written(jaccard_groups(docs, width, percent), "groups")
-    known = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("component_id") == F.col("doc_id")).alias("stays"))
+    groups = written(_grouped(docs, width, percent), "groups")
+    stays = F.col("component_id") == F.col("doc_id")
+    known = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(stays).alias("all_stay"), F.max(stays).alias("stays"))
     odd = written(known.where("n > 1 or not stays"), "odd")
     sure, maybe = likely_in(docs, odd, how="left_anti"), likely_in(docs, odd)
-    name = fresh(docs, "gone_id")
+    name, text = fresh(docs, "gone_id"), fresh(docs, "gone_text")
     gone = odd.where("not stays").select(F.col("doc_id").alias(name))
     maybe = maybe.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    split = odd.where("stays and not all_stay")
+    if not split.isEmpty():
+        known_as = split.select(F.col("doc_id").alias(name))
+        rows = _nodes(likely_in(docs, split).join(known_as, F.col("doc_id").cast("long") == F.col(name), "left_semi"), width)
+        others = groups.where(~stays).join(split, "doc_id", "left_semi").select("doc_id", "node").distinct()
+        gone = rows.join(others, ["doc_id", "node"]).select(F.col("doc_id").alias(name), F.col("text_hash").alias(text)).distinct()
+        gone = written(gone, "gone")
+        maybe = maybe.join(gone, (F.col("doc_id").cast("long") == F.col(name)) & (F.xxhash64("text") == F.col(text)), "left_anti")
     if not odd.where("n > 1 and stays").isEmpty():
         maybe = maybe.dropDuplicates(["doc_id", "text"])
     return sure.unionByName(maybe)

@@ -90,3 +90,12 @@ def test_representatives_keep_one_of_each_group(spark):
     assert ids == sorted({c for d, _, c in brute([(r[0], r[1]) for r in odd_rows()], 3, 90) if d is not None})
     assert kept.where("doc_id is null").count() == 2
     assert jaccard.representatives(no_documents(spark)).count() == 0
+
+
+def test_texts_that_share_an_id_stand_for_their_own_groups(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(100)) for k in "abc")
+    near = lambda text, word: " ".join(text.split()[:-1] + [word])
+    rows = [(1, a), (5, near(a, "x")), (5, b), (7, near(b, "y")), (7, c), (7, c), (7, ""), (8, near(a, "z")), (8, near(b, "z")), (None, a)]
+    kept = jaccard.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (5, b), (7, c), (7, ""), (None, a)], key=str)
