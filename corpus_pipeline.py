@@ -29,7 +29,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of weights 1, 2, 3 takes them."""
-    return mixing.mixed(docs, weights=(1, 2, 3))
+    return mixing.mixed(docs, weights=(1, 2, 3), null_ids=True)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -176,9 +176,20 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int =
     n_words, whole``.  Repeated rows are separate documents.  The same rows
     give the same mix, however they are partitioned.
     """
+    rows, slots = _laid(docs, weights, block, shards, seed)
+    return rows.drop("place"), slots
+
+
+def _place(seed: int) -> Column:
+    """Where a row stands in its source, and the mix's name for it; defined for null ids too."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
+
+
+def _laid(docs: DataFrame, weights: Sequence[float], block: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`mixture` with the ``place`` of each row."""
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), key.alias("source_key"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"))
+    base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), key.alias("source_key"), n_words(F.col("text").cast("string")).alias("size"), _place(seed).alias("place"))
     base = written(base, "sizes")
     per_source = base.groupBy("source_key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     per_source.sort(key=lambda r: (r.source_key == "", r.source_key))
@@ -196,7 +207,7 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int =
     inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["source_key", "bucket"])
     placed = placed.join(sources, "source_key").withColumn("start", F.col("base") + F.col("ahead"))
-    placed = written(placed.select("doc_id", "source", "source_no", "size", "source_size", "target", "start"), "placed")
+    placed = written(placed.select("doc_id", "source", "source_no", "size", "source_size", "target", "start", "place"), "placed")
     dropped(base)
 
     parts = placed.where("size > 0").select("source_no", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
@@ -207,7 +218,7 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int =
     words = parts.join(taken, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(part).alias("taken"))
     nothing = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     some = placed.where("size > 0").join(words, ["source_no", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "place"]
     return some.select(columns).unionByName(nothing.select(columns)), slots
 
 
@@ -228,17 +239,18 @@ def _whole_copies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("times", (F.floor("share") + F.floor(to) - F.floor(since)).cast("int"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), **options: int) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), null_ids: bool = False, block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
     """``docs``, all columns, as the mix takes them: a row stands as often as its words are taken, its fraction of a copy rounded by :func:`_whole_copies`.
 
-    Rows that share a ``doc_id`` stand as often as they are taken together,
-    shared out evenly.  Rows with a null id, or without words, are not taken.
+    Rows that share ``doc_id`` and text stand as often as they are taken
+    together, shared out evenly.  Rows without words are not taken, and those with
+    a null id only with ``null_ids``; the targets count their words in any case.
     """
-    taken, _ = mixture(docs, weights, **options)
+    taken, _ = _laid(docs, weights, block, shards, seed)
     key, times, copy = (fresh(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
-    rows = taken.where("size > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("key"))
+    rows = taken.where("size > 0" if null_ids else "size > 0 and doc_id is not null").groupBy(F.col("place").alias("key"))
     rows = rows.agg(F.min("source").alias("of"), F.sum("size").alias("size"), (F.sum("taken") / F.sum("size")).alias("share")).where("share > 0")
     wanted = _whole_copies(written(rows, "shares")).where("times > 0").select(F.col("key").alias(key), F.col("times").alias(times))
     # what is wanted grows with the corpus: never broadcast it, at any size
-    joined = docs.join(wanted.hint("merge"), F.col("doc_id").cast("long") == F.col(key))
+    joined = docs.join(wanted.hint("merge"), _place(seed) == F.col(key))
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(key, times, copy)

@@ -33,3 +33,10 @@ def test_stages_take_odd_and_no_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = written(stage(spark, docs, TINY), name)
             assert docs.columns == columns or name == "sharding"
+
+
+def test_the_mix_keeps_documents_without_an_id(spark):
+    rows = [(None if i % 2 else i // 4, f"text number {i} of one source", "a") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, None, "a")], "doc_id long, text string, source string")
+    mix = corpus_pipeline.source_mix(spark, docs, TINY)
+    assert sorted(map(tuple, mix.collect()), key=str) == sorted(rows, key=str)
