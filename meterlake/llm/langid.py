@@ -205,19 +205,25 @@ class LanguageModel:
 
 
 def _sampled(docs: DataFrame, usable: Column) -> tuple[DataFrame, list[str]]:
-    """Labelled rows, about ``SAMPLE_CHARS`` characters of each language, and the languages."""
+    """Labelled rows, about ``SAMPLE_CHARS`` characters of each language, and the languages.
+
+    ``first`` marks the row with letters that a language has in any case: the first by the hash of its id.
+    """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_CHARS / max(n, 1))) for k, n in sizes.items()], "lang string, share double")
-    return rows.join(F.broadcast(share), "lang").where(uniform(F.col("doc_id"), 1) < F.col("share")).select("doc_id", "text", "lang"), sorted(sizes)
+    drawn = uniform(F.col("doc_id"), 1)
+    first = F.min(F.when(F.col("text").rlike(r"\p{L}"), F.struct(drawn.alias("u"), F.col("doc_id").alias("id"))))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), first["id"].alias("first")).collect()
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, SAMPLE_CHARS / max(r.n, 1)), r["first"]) for r in sizes], "lang string, share double, first_id long")
+    rows = rows.join(F.broadcast(share), "lang").withColumn("first", F.coalesce(F.col("doc_id") == F.col("first_id"), F.lit(False)))
+    return rows.where(F.col("first") | (drawn < F.col("share"))).select("doc_id", "text", "lang", "first"), sorted(r.lang for r in sizes)
 
 
 def fit(docs: DataFrame, usable: Column) -> LanguageModel:
     """Fit on the labelled rows of ``docs`` that are ``usable``; without any, the model knows no language and every text is ``und``."""
     arrow_batches(docs.sparkSession)
     sample, _ = _sampled(docs, usable)
-    calibrates = uniform(F.col("doc_id"), 2) < CALIBRATION
+    calibrates = (uniform(F.col("doc_id"), 2) < CALIBRATION) & ~F.col("first")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +233,7 @@ def fit(docs: DataFrame, usable: Column) -> LanguageModel:
                 for _, _, data, offsets in slices(texts):
                     parts.append(ngrams(*characters(data, offsets)))
                 grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counts = sample.where(~calibrates).select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):

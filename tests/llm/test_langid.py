@@ -91,3 +91,13 @@ def test_odd_and_no_documents(spark):
     assert langid.identified(no_documents(spark), model).count() == 0
     nothing = langid.fit(no_documents(spark), F.lit(True))
     assert {r.lang_pred for r in langid.identified(docs, nothing).collect()} == {"und"}
+
+
+def test_every_language_with_a_usable_text_is_learned(spark):
+    rows = [(i, f"word{chr(97 + i % 26) * 3} and some more letters {chr(98 + i % 24) * 4} " * 5, f"l{i:02d}") for i in range(40)]
+    rows += [(100 + i, "12 34 " * 9, "l00") for i in range(9)] + [(200, "12 34", "none")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert sorted(model.languages) == [f"l{i:02d}" for i in range(40)]
+    assert langid.SAMPLE_CHARS < 3_000_000
+    long = spark.createDataFrame([(i, "x") for i in range(3)], "doc_id long, lang string").withColumn("text", F.expr("repeat('some words ', 900000)"))
+    assert langid.fit(long, F.lit(True)).languages == ["x"]
