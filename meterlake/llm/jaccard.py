@@ -4,32 +4,40 @@ Every text becomes the set of its distinct word shingles.  Sets whose Jaccard
 similarity reaches ``percent`` are linked, and the links' connected components
 are the groups.
 
-Signatures (Arasu, Ganti and Kaushik, 2006, with one second-level part, so each
-enumerated subset is one part).  Sizes are cut into bands of factor ``BAND``.
-A set signs for its own band and, if a linked larger set may lie in the next
-one, for that too.  In a
-band whose largest size is r, linked sets differ in at most
-k = floor(2 r (1 - s) / (1 + s)) elements.  The hash domain is cut into
-k + 1 + e ranges: at least 1 + e of them hold the same elements in both sets, and
-the hash of such a range is a shared signature.  Ranges without elements would
-be shared by strangers; a set with at most e empty ranges leaves them out and
-still shares another one, and a set with more (e is chosen so that hardly any
-has) keeps them.  So no linked pair is lost.
+Signatures (Arasu, Ganti and Kaushik, 2006).  Sizes are cut into bands of factor
+``BAND``.  A set signs for its own band and, if a linked larger set may lie in the
+next one, for that too.  In a band whose largest size is r, linked sets differ in
+at most k = floor(2 r (1 - s) / (1 + s)) elements.  The hash domain is cut into
+n1 + e first-level parts with n1 (k2 + 1) > k, so in 1 + e of them at least the
+sets differ in no more than k2 elements; each is cut into n2 second-level parts,
+and every subset of n2 - k2 of these signs: one of them at least is equal.
+Subsets without elements would be shared by strangers.  A part is poor if one of its
+subsets has none; a set with at most e poor parts leaves such subsets out and still
+shares another signature, and a set with more (e is chosen so that few have)
+keeps them.  So no linked pair is lost.
 
 Plan.  All signatures are shuffled once, alone, to find those that more than one row
 has; a bitmap of bounded size then keeps the others from being shuffled again (if
 it fills up, more pass, and the result is the same).  Equal sets are one node
-(their 64-bit fingerprint), so copies cost nothing.  In a bucket of nodes with one signature, all are compared with the
-smallest; what then lies in different components is compared pairwise.  Groups
-of near copies thus cost about one comparison a member.  Pairs first pass a
-lossless filter: the parities of a set's hashes in 256 cells differ in no more
-cells than the sets differ in elements.  The rest is verified on whole sets.
+(their 64-bit fingerprint), so copies cost nothing.  In a bucket of nodes with one
+signature, all are compared with the one that has met most others; groups of near copies become
+components for about one comparison a member.  What then lies in different
+components of a bucket of at most ``LIGHT`` nodes is compared pairwise.  The nodes of larger ones
+(strangers that share a frequent passage) sign again, with other parts of the domain: linked
+nodes share a signature of every family, strangers hardly ever do twice.  Only what meets in
+all ``FAMILIES`` is compared pairwise in buckets of any size.  Pairs first pass a
+lossless filter: the parities of a set's hashes in 1,024 cells, and then in as many cells as
+elements, differ in no more cells than the sets differ in elements.  The rest is
+verified on whole sets.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +49,18 @@ from .common import arrow_batches, bitmap, dropped, fresh, in_bitmap, likely_in,
 from .components import connected_components
 from .text import mix, whole_hash, words_of
 
-#: Ranges without elements that a set may leave out, besides those that are to be expected.
-SPARE = 2
-#: Smallest over largest size of a band: wider bands need more ranges, narrower ones more sets that sign twice.
+#: Second-level parts, and how many of them may differ; the others form the subsets that sign.
+PARTS, DIFFERING = 3, 1
+#: Poor parts that a set may have: three deviations more than small sets should, and at most this share of the parts.
+SPARE = 0.15
+#: Smallest over largest size of a band: wider bands need more parts, narrower ones more sets that sign twice.
 BAND = 0.7
+#: Nodes of a bucket that are compared pairwise at once, and families of signatures.
+LIGHT, FAMILIES = 8, 3
 #: Signatures a text that other texts may have, as far as the bitmap's size is concerned.
 RECURRING = 24
 _U64 = np.uint64
-SKETCH = 4  # words of 64 parity cells
+SKETCH = 16  # words of 64 parity cells
 SIGNED = "doc_id long, n_shingles long, node long, sketch array<long>, wide binary, signatures array<long>"
 LIKELY = "a long, b long, doc_a long, doc_b long"
 SETS = "node long, shingles array<long>"
@@ -73,72 +85,100 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 class Bands:
-    """Size bands 1, 2, ...: ``low[i]..high[i]``; the next band's smallest links reach into this one only."""
+    """Size bands 1, 2, ...: ``low[i]..high[i]``; the next band's smallest links reach into this one only.
 
-    def __init__(self, percent: int):
-        self.percent = percent
+    Families cut the domain in unrelated ways.
+    """
+
+    def __init__(self, percent: int, family: int = 0):
+        self.percent, self.family = percent, family
         self.low, self.high = [1], [1]
-        self._cuts: dict[int, np.ndarray] = {}
-        self._spare: dict[int, int] = {}
+        self._parts: dict[int, tuple[int, int, np.ndarray, np.ndarray, np.uint64]] = {}
 
     def of(self, size: int) -> int:
         while self.high[-1] < size:
             low = self.high[-1] + 1
             self.low.append(low)
             self.high.append(max(int(low / BAND), low * 100 // self.percent))
-        return int(np.searchsorted(self.high, size))
+        return bisect_left(self.high, size)
 
     def differing(self, band: int) -> int:
         """Most elements in which linked sets of at most the band's largest size differ."""
         return 2 * self.high[band] * (100 - self.percent) // (100 + self.percent)
 
-    def spare(self, band: int) -> int:
-        """Empty ranges that sets of the band may leave out: four deviations above what the smallest expects."""
-        if band not in self._spare:
-            parts, smallest = self.differing(band) + 1, max(self.low[band] * self.percent // 100, 1)
-            empty = parts * np.exp(-smallest / parts)
-            self._spare[band] = SPARE + int(empty + 4 * np.sqrt(empty)) if self.differing(band) else SPARE
-        return self._spare[band]
-
-    def cuts(self, band: int) -> np.ndarray:
-        got = self._cuts.get(band)
+    def parts(self, band: int) -> tuple[int, int, np.ndarray, np.ndarray, np.uint64]:
+        """First-level parts, how many of them may be poor, the cuts of the domain, the subsets (part x subset), and a label."""
+        got = self._parts.get(band)
         if got is None:
-            parts = self.differing(band) + 1 + self.spare(band)
-            got = np.array([(i << 64) // parts for i in range(1, parts)], dtype=object).astype(_U64)
-            self._cuts[band] = got
+            k = self.differing(band)
+            inner, k2 = (PARTS, DIFFERING) if k else (1, 0)
+            n1 = -(-(k + 1) // (k2 + 1))
+            empty = np.exp(-self.low[band] * (100 + self.percent) / (200 * n1 * inner))  # of the second-level parts of a small set
+            poor = n1 * sum(comb(inner, j) * empty**j * (1 - empty) ** (inner - j) for j in range(inner - k2, inner + 1))
+            spare = min(int(np.ceil(poor + 3 * np.sqrt(poor))), int(np.ceil(SPARE * n1))) if n1 > 3 else 0
+            cells = (n1 + spare) * inner
+            cuts = np.array([(i << 64) // cells for i in range(1, cells)], dtype=object).astype(_U64)
+            chosen = list(combinations(range(inner), inner - k2))
+            subsets = np.array([[i in c for c in chosen] for i in range(inner)], dtype=np.int64)
+            got = self._parts[band] = n1 + spare, spare, cuts, subsets, _U64((band * 0xC2B2AE3D27D4EB4F + self.family * 0xD6E8FEB86659FD93) % (1 << 64))
         return got
 
     def signatures(self, own: np.ndarray) -> np.ndarray:
         """Signatures of a sorted set for its own band and, if a larger set there may be linked, the next."""
         band = self.of(len(own))
         both = self.of(len(own) * 100 // self.percent) > band
-        total = np.concatenate([np.zeros(1, dtype=_U64), np.cumsum(mix(own + _U64(0x51ED270B)))])
+        if self.family:
+            own = np.sort(mix(own + _U64(self.family)))
+        total = np.zeros(len(own) + 1, dtype=_U64)
+        np.cumsum(mix(own + _U64(0x51ED270B)), out=total[1:])
         out = []
         for b in (band, band + 1)[: 1 + both]:
-            at = np.searchsorted(own, self.cuts(b))
-            at = np.concatenate([[0], at, [len(own)]])
-            part = total[at[1:]] - total[at[:-1]]
-            label = (np.arange(len(part), dtype=_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15) + _U64(b * 0xC2B2AE3D27D4EB4F % (1 << 64))
-            signature = mix(mix(part) ^ label)
-            filled = at[1:] > at[:-1]
-            out.append(signature[filled] if (~filled).sum() <= self.spare(b) else signature)
+            n1, spare, cuts, subsets, label = self.parts(b)
+            at = np.zeros(len(cuts) + 2, dtype=np.int64)
+            at[1:-1] = np.searchsorted(own, cuts)
+            at[-1] = len(own)
+            filled = ((at[1:] - at[:-1]).reshape(n1, -1) @ subsets > 0).ravel()
+            part = ((total[at[1:]] - total[at[:-1]]).reshape(n1, -1) @ subsets.astype(_U64)).ravel()
+            signature = mix(mix(part) ^ ((np.arange(len(part), dtype=_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15) + label))
+            poor = (~filled).reshape(n1, -1).any(axis=1).sum()
+            out.append(signature[filled] if poor <= spare else signature)
         return np.concatenate(out).view(np.int64)
 
 
 def parities(own: np.ndarray) -> np.ndarray:
-    """Parity of the set's elements in each of 256 or more cells, about as many as elements; packed bits."""
-    cells = 1 << max(8, int(len(own)).bit_length())
+    """Parity of the set's elements in each of 1,024 or more cells, about as many as elements; packed bits."""
+    cells = 1 << max(6 + SKETCH.bit_length() - 1, int(len(own)).bit_length())
     counts = np.bincount((mix(own) & _U64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(counts.astype(np.uint8))
 
 
 def folded(bits: np.ndarray, size: int) -> np.ndarray:
-    """The same parities in fewer cells: ``size`` bytes of packed bits."""
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    """The same parities in fewer cells: ``size`` bytes of packed bits in the last dimension."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
     return bits
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and the start and length of each value."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, dtype=np.uint8), at[:-1], np.diff(at)
+
+
+def differing_cells(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many cells the packed parities of ``x`` and ``y`` differ, row by row, in the cells of the smaller one."""
+    (a, at_a, len_a), (b, at_b, len_b) = _bytes(x), _bytes(y)
+    out = np.zeros(len(x), dtype=np.int64)
+    for m, n in np.unique(np.stack([len_a, len_b], axis=1), axis=0):
+        rows = np.flatnonzero((len_a == m) & (len_b == n))
+        for some in np.array_split(rows, -(-len(rows) * int(m + n) // (8 << 20))):
+            u, v = a[at_a[some][:, None] + np.arange(m)], b[at_b[some][:, None] + np.arange(n)]
+            out[some] = np.bitwise_count(folded(u, min(m, n)) ^ folded(v, min(m, n))).sum(axis=1)
+    return out
+
+
 def _long_lists(parts: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     flat = np.concatenate([p.view(np.int64) for p in parts]) if parts else np.zeros(0, dtype=np.int64)
@@ -208,13 +248,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, p
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs whose wide parities allow the similarity."""
         for batch in batches:
-            x, y = (batch.column(i).to_pylist() for i in (4, 5))
-            total, keep = batch.column(6).to_numpy(), np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                u, v = np.frombuffer(x[i], np.uint8), np.frombuffer(y[i], np.uint8)
-                size = min(len(u), len(v))
-                differ = int(np.bitwise_count(folded(u, size) ^ folded(v, size)).sum())
-                keep[i] = differ * (100 + percent) <= total[i] * (100 - percent)
+            if not batch.num_rows:
+                continue
+            keep = differing_cells(batch.column(4), batch.column(5)) * (100 + percent) <= batch.column(6).to_numpy() * (100 - percent)
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep))
 
     met = pairs.alias("p").join(a, F.col("p.a") == F.col("a.node")).join(b, F.col("p.b") == F.col("b.node")).where(_may_link(percent))
@@ -233,6 +269,51 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, p
     return out
 
 
+def _shared(signed: DataFrame) -> DataFrame:
+    """The ``signature, node`` rows whose signature more than one node has."""
+    rows = written(signed.distinct(), "rows")
+    shared = rows.groupBy("signature").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("signature")
+    out = written(rows.join(shared, "signature"), "buckets")
+    dropped(rows)
+    return out
+
+
+def _apart(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, light: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs ``a, b`` of nodes with different labels that meet in buckets of at most ``light`` nodes (None: of any size) and may
+    link, and ``doc_id, node`` of the nodes of larger buckets with different labels."""
+    placed = buckets.join(labels, "node")
+    mixed = placed.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("met")).where("x <> y").select("signature", "met")
+    placed = written(placed.join(mixed, "signature"), "placed")
+    heavy = None
+    if light is not None:
+        heavy = written(placed.where(F.col("met") > light).select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"), "heavy")
+        placed = placed.where(F.col("met") <= light)
+    placed = placed.drop("met").join(nodes.select("node", "n", "sketch"), "node")
+    a, b = placed.alias("a"), placed.alias("b")
+    apart = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
+    return a.join(b, apart & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), heavy
+
+
+def _signed_again(docs: DataFrame, wanted: DataFrame, width: int, percent: int, family: int) -> DataFrame:
+    """``signature, node`` of the wanted nodes (``doc_id, node``) in another family."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent, family)
+        for batch in batches:
+            own = [(node, bands.signatures(s)) for node, s in zip(batch.column(0).to_pylist(), map(lambda x: x.view(_U64), _lists(batch.column(1))), strict=True)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for _, s in own])), pa.array(np.repeat([node for node, _ in own], [len(s) for _, s in own]))], names=["signature", "node"])
+
+    texts = likely_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted).join(wanted, "doc_id")
+    return shingle_sets(texts, width).mapInArrow(run, "signature long, node long")
+
+
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    flat, size = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+    end = np.cumsum(size)
+    return (flat[e - n : e] for e, n in zip(end, size, strict=True))
+
+
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Groups of texts by the Jaccard similarity of their shingle sets.
 
@@ -254,29 +335,28 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     linkable = base.where("n_shingles > 0 and doc_id is not null")
     nodes = linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max(F.struct(*[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)], "wide")).alias("s"))
     nodes = written(nodes.select("node", "doc_id", "n", F.array(*[f"s.s{i}" for i in range(SKETCH)]).alias("sketch"), "s.wide"), "nodes")
-    rows = written(linkable.select(F.explode("signatures").alias("signature"), "node").distinct(), "rows")
-    shared = rows.groupBy("signature").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("signature")
-    buckets = written(rows.join(shared, "signature"), "buckets")
-    dropped(rows)
+    buckets = _shared(linkable.select(F.explode("signatures").alias("signature"), "node"))
     met = buckets.join(buckets.groupBy("signature").count(), "signature").groupBy("node").agg(F.sum("count").alias("met"))
     hubs = buckets.join(met, "node").groupBy("signature").agg(F.max(F.struct("met", "node")).alias("m")).select("signature", F.col("m.node").alias("hub"))
 
     stars = buckets.join(hubs, "signature").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(docs, stars, nodes, width, percent)
     labels = connected_components(links)
-    placed = buckets.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("signature")
-    placed = written(placed.join(mixed, "signature").join(nodes.select("node", "n", "sketch"), "node"), "placed")
-    a, b = placed.alias("a"), placed.alias("b")
-    apart = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-    rest = a.join(b, apart & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    more = _verified(docs, rest, nodes, width, percent)
+    labels = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
+    rest, left = None, buckets
+    for family in range(1, FAMILIES + 1):
+        light, heavy = _apart(left, labels, nodes, percent, LIGHT if family < FAMILIES else None)
+        rest = light if rest is None else rest.union(light)
+        if heavy is None or heavy.isEmpty():
+            break
+        left = _shared(_signed_again(docs, heavy, width, percent, family))
+    more = _verified(docs, rest.distinct(), nodes, width, percent)
     if not more.isEmpty():
-        labels = connected_components(links.union(more))
-    labels = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        labels = connected_components(links.union(more)).withColumnRenamed("component", "label")
+    labels = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(names, "label").select("node", "component_id")
-    dropped(buckets, placed)
+    dropped(buckets)
     own = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
     return own.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
@@ -297,7 +377,8 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """The rows of ``docs``, all columns, that stand for their group: those with its smallest ``doc_id``.
 
     Rows with a null id or without words stay.  Of rows that share a ``doc_id``
-    each stays or goes with the group of its own text, and equal texts among them are one.
+    each stays or goes with the group of its own text, and equal texts among them are
+    one: the row whose columns have the smallest hash.  An empty table gives none.
     """
     groups = written(_grouped(docs, width, percent), "groups")
     stays = F.col("component_id") == F.col("doc_id")
@@ -315,6 +396,7 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         gone = rows.join(others, ["doc_id", "node"]).select(F.col("doc_id").alias(name), F.col("text_hash").alias(text)).distinct()
         gone = written(gone, "gone")
         maybe = maybe.join(gone, (F.col("doc_id").cast("long") == F.col(name)) & (F.xxhash64("text") == F.col(text)), "left_anti")
-    if not odd.where("n > 1 and stays").isEmpty():
-        maybe = maybe.dropDuplicates(["doc_id", "text"])
+    if not odd.where("n > 1 and stays").isEmpty():  # of rows that differ in other columns alone, the one with the smallest hash
+        row = F.struct(*[F.col(c) for c in docs.columns])
+        maybe = maybe.groupBy("doc_id", "text").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
     return sure.unionByName(maybe)
