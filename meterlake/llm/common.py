@@ -88,6 +88,14 @@ def bounded(df: DataFrame, limit: int) -> bool:
     return df.count() <= limit
 
 
+def copied(rows: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row as often as its ``count`` says, numbered from 0; in two steps, so that no row holds a long list."""
+    step = 1 << 14
+    first = rows.withColumn("copied_from", F.explode(F.sequence(F.lit(0).cast("long"), (F.col(count) - 1).cast("long"), F.lit(step).cast("long"))))
+    last = F.least(F.col("copied_from") + (step - 1), F.col(count) - 1)
+    return first.withColumn(number, F.explode(F.sequence("copied_from", last))).drop("copied_from", count)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

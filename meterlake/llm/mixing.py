@@ -11,7 +11,12 @@ pi(j), where pi is a pseudorandom permutation of the source's block indexes
 (Feistel rounds with cycle walking), so every block is taken once an epoch.  The
 last slot of a source ends where its target is met.
 
-Documents are joined with slots by block index.  Prefix sums of words run in
+Within an output shard the slots of all sources stand in the order of another
+permutation.
+
+Documents are joined with slots by block index: the pieces of documents that fill
+a slot are what the mix consists of, and the words it takes of a document are
+theirs.  Equal rows are one with a count until they are laid out.  Prefix sums of words run in
 hash buckets of about ``BUCKET_ROWS`` rows, and over the buckets' totals, so no
 task ever holds a source.  On the driver there is one number a source and a
 count for each source and output shard.
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, dropped, fresh, uniform, written
+from .common import arrow_batches, copied, dropped, fresh, uniform, written
 
 BLOCK_WORDS = 1024
 MAX_REPEATS = 3
@@ -35,12 +40,13 @@ OUTPUT_SHARDS = 32
 BUCKET_ROWS = 20_000
 SEED = 2
 ROUNDS = 6
-SLOTS = "source_no long, block long, epoch long, output_shard long, n_words long, whole boolean"
+WORD = r"[^\x20\x09-\x0D]+"
+SLOTS = "source_no long, block long, epoch long, output_shard long, place_in_shard long, n_words long"
 
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space and the controls 9..13; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def water_filled(sizes: Sequence[int], weights: Sequence[float], limit: float = MAX_REPEATS) -> list[float]:
@@ -141,7 +147,9 @@ class Plan:
         """Every slot: its block, epoch, output shard and number of words."""
         arrow_batches(spark)
         first = np.concatenate([[0], np.cumsum(self.slots)])
-        share = np.cumsum(self.drawn, axis=0)
+        share = np.cumsum(self.drawn, axis=0)  # of each source's slots, those in shards up to this one
+        beside = np.cumsum(self.drawn, axis=1) - self.drawn  # slots of the sources before, in the same shard
+        held = self.drawn.sum(axis=1)
         plan = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +168,9 @@ class Plan:
                 shard = np.zeros(len(i), dtype=np.int64)
                 for k in range(len(share)):
                     shard += slot >= share[k][source]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (source, taken, epoch, shard, words, words == length)], names=["source_no", "block", "epoch", "output_shard", "n_words", "whole"])
+                within = slot - share[shard, source] + plan.drawn[shard, source] + beside[shard, source]
+                place = Permutation.of(within, held[shard], shard * 1_000_003 + seed + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (source, taken, epoch, shard, place, words)], names=[f.split()[0] for f in SLOTS.split(", ")])
 
         return spark.range(int(first[-1])).mapInArrow(run, SLOTS)
 
@@ -170,14 +180,30 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int =
 
     Inputs ``doc_id, text, source``, others are ignored.  Sources in the order
     of code points, null last, have the weights in turn.  The first table has one row
-    per input row: ``doc_id, source, size, source_size, target, taken`` (words taken,
-    repeats counted).  Texts without words, null ones too, have size 0 and are
+    per input row: ``doc_id, source, size, source_size, target, taken, output_shards`` (words taken,
+    repeats counted, and the sorted output shards that hold some of them).  Texts without words, null ones too, have size 0 and are
     never taken.  The slots are ``source_no, block, epoch, output_shard,
-    n_words, whole``.  Repeated rows are separate documents.  The same rows
-    give the same mix, however they are partitioned.
+    place_in_shard, n_words``.  Repeated rows are separate documents.  The same rows
+    give the same mix, however they are partitioned.  An empty table gives none of either.
+    """
+    placed, slots = _laid(docs, weights, block, shards, seed)
+    return _taken(placed, slots, block).drop("place"), slots
+
+
+def packed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), block: int = BLOCK_WORDS, shards: int = OUTPUT_SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix itself: ``output_shard, place_in_shard, first_word_in_slot, source, doc_id, first_word, n_words, text``, one row for each piece of a document in a slot.
+
+    A slot's pieces in the order of ``first_word_in_slot`` are its packed block; ``text`` is the
+    piece's words with single spaces between them.  Inputs and edge cases as in :func:`mixture`;
+    what isn't taken has no row.
     """
-    rows, slots = _laid(docs, weights, block, shards, seed)
-    return rows.drop("place"), slots
+    placed, slots = _laid(docs, weights, block, shards, seed)
+    wanted = _pieces(placed, slots, block).groupBy("place", "source", "output_shard", "place_in_shard", "first_word", "n_words", "first_word_in_slot").count()
+    texts = docs.groupBy(_place(seed).alias("place")).agg(F.min(F.col("doc_id").cast("long")).alias("doc_id"), F.min(F.col("text").cast("string")).alias("text"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), (F.col("first_word") + 1).cast("int"), F.col("n_words").cast("int"))
+    rows = wanted.hint("merge").join(texts, "place").withColumn("piece", F.array_join(words, " "))
+    columns = ["output_shard", "place_in_shard", "first_word_in_slot", "source", "doc_id", "first_word", "n_words", F.col("piece").alias("text")]
+    return copied(rows, "count", "copy").select(columns)
 
 
 def _place(seed: int) -> Column:
@@ -186,12 +212,12 @@ def _place(seed: int) -> Column:
 
 
 def _laid(docs: DataFrame, weights: Sequence[float], block: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """:func:`mixture` with the ``place`` of each row."""
+    """One row per input row with its ``start`` among its source's words and its ``place``; and the slots."""
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), key.alias("source_key"), n_words(F.col("text").cast("string")).alias("size"), _place(seed).alias("place"))
-    base = written(base, "sizes")
-    per_source = base.groupBy("source_key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    base = written(base.groupBy(*base.columns).agg(F.count("*").alias("copies")), "sizes")
+    per_source = base.groupBy("source_key").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n")).collect()
     per_source.sort(key=lambda r: (r.source_key == "", r.source_key))
     sizes = [r["size"] for r in per_source]
     targets = water_filled(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
@@ -200,26 +226,36 @@ def _laid(docs: DataFrame, weights: Sequence[float], block: int, shards: int, se
 
     buckets = max(1, sum(r.n for r in per_source) // BUCKET_ROWS)
     sources = spark.createDataFrame([(r.source_key, i, r["size"], targets[i]) for i, r in enumerate(per_source)], "source_key string, source_no long, source_size long, target double")
-    placed = base.withColumn("bucket", F.pmod("place", F.lit(buckets)))
-    totals = placed.groupBy("source_key", "bucket").agg(F.sum("size").alias("total"))
+    placed = base.withColumns({"bucket": F.pmod("place", F.lit(buckets)), "words": F.col("size") * F.col("copies")})
+    totals = placed.groupBy("source_key", "bucket").agg(F.sum("words").alias("total"))
     ahead = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source_key", "bucket", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source_key", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(totals, ["source_key", "bucket"])
-    placed = placed.join(sources, "source_key").withColumn("start", F.col("base") + F.col("ahead"))
+    placed = placed.withColumn("ahead", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(totals, ["source_key", "bucket"])
+    placed = copied(placed.join(sources, "source_key"), "copies", "copy").withColumn("start", F.col("base") + F.col("ahead") + F.col("size") * F.col("copy"))
     placed = written(placed.select("doc_id", "source", "source_no", "size", "source_size", "target", "start", "place"), "placed")
     dropped(base)
+    return placed, slots
+
 
-    parts = placed.where("size > 0").select("source_no", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
+def _pieces(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """``place, source_no, start, source, output_shard, place_in_shard, first_word, n_words, first_word_in_slot``: what fills the slots."""
+    parts = placed.where("size > 0").select("place", "source_no", "source", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    taken = slots.groupBy("source_no", "block").agg(F.sum(F.col("whole").cast("long")).alias("times"), F.max(F.when(~F.col("whole"), F.col("n_words"))).alias("piece"))
-    part = F.col("times") * (high - low) + F.greatest(F.least(high, F.coalesce("piece", F.lit(0))) - low, F.lit(0))
-    words = parts.join(taken, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(part).alias("taken"))
-    nothing = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    some = placed.where("size > 0").join(words, ["source_no", "start"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "place"]
-    return some.select(columns).unionByName(nothing.select(columns)), slots
+    high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.col("n_words"))
+    met = parts.join(slots, ["source_no", "block"]).where(high > low)
+    first = F.col("block") * block + low - F.col("start")
+    return met.select("place", "source_no", "start", "source", "output_shard", "place_in_shard", first.alias("first_word"), (high - low).alias("n_words"), low.alias("first_word_in_slot"))
+
+
+def _taken(placed: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """One row per row of ``placed`` with the words and the output shards of its pieces."""
+    words = _pieces(placed, slots, block).groupBy("source_no", "start").agg(F.sum("n_words").alias("taken"), F.sort_array(F.collect_set("output_shard")).alias("output_shards"))
+    none = F.array().cast("array<long>")
+    nothing = placed.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "output_shards": none})
+    some = placed.where("size > 0").join(words, ["source_no", "start"], "left").withColumns({"taken": F.coalesce("taken", F.lit(0)), "output_shards": F.coalesce("output_shards", none)})
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "output_shards", "place"]
+    return some.select(columns).unionByName(nothing.select(columns))
 
 
 def _whole_copies(rows: DataFrame) -> DataFrame:
@@ -245,8 +281,10 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), null_ids: bool
     Rows that share ``doc_id`` and text stand as often as they are taken
     together, shared out evenly.  Rows without words are not taken, and those with
     a null id only with ``null_ids``; the targets count their words in any case.
+    Pipelines whose stages pass documents on use this; the mix's blocks are :func:`packed`.
+    An empty table gives none.
     """
-    taken, _ = _laid(docs, weights, block, shards, seed)
+    taken = _taken(*_laid(docs, weights, block, shards, seed), block)
     key, times, copy = (fresh(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
     rows = taken.where("size > 0" if null_ids else "size > 0 and doc_id is not null").groupBy(F.col("place").alias("key"))
     rows = rows.agg(F.min("source").alias("of"), F.sum("size").alias("size"), (F.sum("taken") / F.sum("size")).alias("share")).where("share > 0")

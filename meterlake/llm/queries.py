@@ -23,9 +23,9 @@ def op1_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix of all sources takes."""
+    """How many words of each document the mix of all sources takes, and for which output shards."""
     rows, _ = mixing.mixture(_table(spark, sf_dir, "documents"), weights=(1, 2, 3))
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "output_shards")
 
 
 def op3_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
