@@ -4,28 +4,32 @@ Groups are sorted by size, and each enters the bin with the tightest remaining
 capacity that holds it, found in a balanced tree.  For a given number of shards
 the capacity is the smallest (by bisection) at which the packing needs no more bins.
 
-Groups are equal texts.  Packing is sequential, so the driver packs a bounded
-number of items: groups above 1/``GRAIN`` of a shard, of which there are at
-most ``GRAIN`` a shard, by themselves; all smaller groups in bundles by a hash of
-the group, ``GRAIN`` a shard.  A group above a whole shard can't stay whole in
+Groups are equal texts, and every group is packed by itself.  Packing depends on
+sizes alone, so the driver holds the distinct sizes of groups with their counts, of which
+there are at most the square root of twice all bytes.  Of equal items, best fit
+puts as many as it holds in the tightest bin and then goes on to the next: such a
+run is one step.  A group above a whole shard can't stay whole in
 shards of near equal size: it is split by a hash of the document's id into
-pieces of about half a shard.  Sizes come from one aggregation by group; rows
-find their shard through broadcast tables of at most ``GRAIN`` rows a shard each.
-Slots number the rows of a shard in hash buckets of about ``BUCKET_ROWS``
-rows, so no task ever holds a shard.
+pieces of about half a shard (at most two for each shard).
+
+Groups of one size are ranked in hash buckets of about ``BUCKET_ROWS`` groups and find the bin
+of their rank's run by a join on the size; rows find their group's bin by a join on the
+group.  Equal rows are one with a count until then.  Slots number the rows
+of a shard in buckets as well, so no task ever holds a shard, a size or a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BROADCAST_IDS, copied, dropped, written
 
-GRAIN = 64
 BUCKET_ROWS = 20_000
 
 
@@ -80,31 +84,42 @@ class BalancedTree:
         return best
 
 
-def best_fit_decreasing(sizes: Sequence[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each item.  An item above the capacity has a bin of its own.  None if it takes more than ``most`` bins."""
-    tree, bins, out = BalancedTree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        got = tree.take_ceiling((sizes[i], -1))
-        if got is None:
-            if bins == most:
-                return None
-            got, bins = (max(capacity, sizes[i]), bins), bins + 1
-        out[i] = got[1]
-        tree.add((got[0] - sizes[i], got[1]))
+def best_fit_decreasing(sizes: Sequence[int], counts: Sequence[int], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """Runs (items, bin) of each distinct size, given in falling order, with its count.
+
+    An item above the capacity has a bin of its own.  None if it takes more than ``most`` bins.
+    """
+    tree, bins, out = BalancedTree(), 0, []
+    for size, count in zip(sizes, counts, strict=True):
+        runs: list[tuple[int, int]] = []
+        while count:
+            got = tree.take_ceiling((size, -1))
+            if got is None:
+                if bins == most:
+                    return None
+                got, bins = (max(capacity, size), bins), bins + 1
+            fit = min(count, got[0] // size) if size else count
+            runs.append((fit, got[1]))
+            tree.add((got[0] - fit * size, got[1]))
+            count -= fit
+        out.append(runs)
     return out
 
 
-def balanced_bins(sizes: Sequence[int], bins: int) -> list[int]:
-    """Best-fit-decreasing at the smallest capacity for which ``bins`` bins suffice."""
-    low, high = max([-(-sum(sizes) // bins), *sizes, 1]), max(2 * sum(sizes) // bins + max([0, *sizes]), 1)
-    high = max(high, low)
-    while low < high:
-        middle = (low + high) // 2
-        if best_fit_decreasing(sizes, middle, bins) is None:
-            low = middle + 1
-        else:
-            high = middle
-    return best_fit_decreasing(sizes, low, bins)
+def balanced_bins(sizes: Sequence[int], counts: Sequence[int], bins: int) -> list[list[tuple[int, int]]]:
+    """Best-fit-decreasing at the smallest capacity found for which ``bins`` bins suffice: steps from the least possible one double until they do, then halve."""
+    total = sum(s * c for s, c in zip(sizes, counts, strict=True))
+    low = max([-(-total // bins), *sizes[:1], 1])
+    best = best_fit_decreasing(sizes, counts, low, bins)
+    failed, high, step = low, low, 1
+    while best is None:
+        failed, high, step = high, low + step, 2 * step
+        best = best_fit_decreasing(sizes, counts, high, bins)
+    while high - failed > 1:
+        middle = (failed + high) // 2
+        got = best_fit_decreasing(sizes, counts, middle, bins)
+        failed, high, best = (middle, high, best) if got is None else (failed, middle, got)
+    return best
 
 
 def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -113,7 +128,8 @@ def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
     Inputs ``doc_id, text``, others are ignored.  Output, one row per input
     row: ``doc_id, size`` (UTF-8 bytes + 8), ``text_crc32, law, shard, slot,
     grown_shard``; slots of a shard run from 0 without gaps.  Null texts count no bytes,
-    have a null crc32, and are one group.  An empty table gives no rows.
+    have a null crc32, and are one group.  Null ids and repeated rows are documents like
+    others.  An empty table gives no rows.  Reruns agree, however rows are partitioned.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -124,30 +140,44 @@ def sharded(docs: DataFrame, shards: int = 24) -> DataFrame:
         F.xxhash64(F.lit(1), text.isNull(), text).alias("g1"),
         F.xxhash64(F.lit(2), text).alias("g2"),
     )
-    rows = written(rows, "documents")
-    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    rows = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "documents")
+    n, total = rows.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0))).first()
     fair = max(-(-total // shards), 1)
-    groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
-    large = groups.where(F.col("bytes") * GRAIN > fair).orderBy("g1", "g2").collect()
-    pieces = {(r.g1, r.g2): 1 if r.bytes <= fair else -(-2 * r.bytes // fair) for r in large}
-    known = F.broadcast(spark.createDataFrame([(*k, p) for k, p in pieces.items()], "g1 long, g2 long, pieces long"))
-    piece = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.greatest(F.col("pieces"), F.lit(1)))
-    bundle = F.pmod(F.xxhash64(F.lit(4), "g1"), F.lit(GRAIN * shards))
-    # an item is a piece of a large group, or a bundle of small ones: its name is a pair of numbers and a piece
-    items = rows.join(known, ["g1", "g2"], "left").withColumns({
-        "i1": F.when(F.col("pieces").isNull(), bundle).otherwise(F.col("g1")),
-        "i2": F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(F.col("g2")),
-        "i3": F.when(F.col("pieces").isNull(), F.lit(-1)).otherwise(piece),
-    })
-    sizes = items.groupBy("i1", "i2", "i3").agg(F.sum("size").alias("bytes")).orderBy("i1", "i2", "i3").collect()
-    where = balanced_bins([r.bytes for r in sizes], shards)
-    found = F.broadcast(spark.createDataFrame([(r.i1, r.i2, r.i3, b) for r, b in zip(sizes, where, strict=True)], "i1 long, i2 long, i3 long, shard int"))
-
-    buckets = max(1, n // (shards * BUCKET_ROWS))
-    put = items.join(found, ["i1", "i2", "i3"]).withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), "doc_id", "g1"), F.lit(buckets)))
-    counts = put.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    ahead = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "g1", "g2")
-    put = put.withColumn("place", F.row_number().over(inside) - 1).join(counts, ["shard", "bucket"])
-    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    groups = written(rows.groupBy("g1", "g2").agg(F.sum(F.col("size") * F.col("copies")).alias("bytes")), "groups")
+    large = groups.where(F.col("bytes") > fair).collect()  # fewer than shards
+    pieces = F.broadcast(spark.createDataFrame([(r.g1, r.g2, -(-2 * r.bytes // fair)) for r in large], "g1 long, g2 long, pieces long"))
+    single = copied(rows, "copies", "copy").join(pieces, ["g1", "g2"], "left")
+    piece = F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64(F.lit(3), "doc_id", "copy"), F.col("pieces"))).otherwise(F.lit(0))
+    single = single.withColumn("piece", piece.cast("long"))
+    split = single.where("pieces is not null").groupBy("g1", "g2", "piece").agg(F.sum("size").alias("bytes"))
+    items = groups.join(pieces, ["g1", "g2"], "left_anti").select("g1", "g2", F.lit(0).cast("long").alias("piece"), "bytes").unionByName(split)
+    if large:
+        items = written(items, "items")
+
+    per_size = items.groupBy("bytes").count().orderBy(F.desc("bytes")).toArrow()
+    sizes, counts = per_size.column("bytes").to_pylist(), per_size.column("count").to_pylist()
+    runs = balanced_bins(sizes, counts, shards) if sizes else []
+    upto = [list(accumulate(k for k, _ in own)) for own in runs]
+    table = pa.table({"bytes": pa.array(sizes, pa.int64()), "upto": pa.array(upto, pa.list_(pa.int64())), "bins": pa.array([[b for _, b in own] for own in runs], pa.list_(pa.int32()))})
+    table = spark.createDataFrame(table)
+    table = F.broadcast(table) if len(sizes) <= BROADCAST_IDS else table.hint("merge")
+
+    ranked = _numbered(items, ["bytes"], ["g1", "g2", "piece"], max(1, sum(counts) // BUCKET_ROWS), "rank").join(table, "bytes")
+    bin_ = F.element_at("bins", (F.size(F.filter("upto", lambda x: x <= F.col("rank"))) + 1).cast("int"))
+    found = written(ranked.select("g1", "g2", "piece", bin_.alias("shard")), "found")
+    dropped(groups)
+
+    put = single.join(found.hint("merge"), ["g1", "g2", "piece"])
+    put = _numbered(put, ["shard"], ["doc_id", "g1", "g2", "copy"], max(1, n // (shards * BUCKET_ROWS)), "slot")
+    return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], buckets: int, name: str) -> DataFrame:
+    """Rows numbered from 0 without gaps within each key, by hash buckets of the (unique) order columns and the order in them."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), *order), F.lit(buckets)))
+    counts = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*keys, "bucket").orderBy(*order)
+    out = rows.withColumn("inside", F.row_number().over(inside) - 1).join(counts, [*keys, "bucket"])
+    return out.withColumn(name, (F.col("base") + F.col("inside")).cast("long")).drop("base", "inside", "bucket")

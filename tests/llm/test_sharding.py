@@ -9,19 +9,41 @@ from tests.conftest import SMALL
 from tests.llm.cases import no_documents, odd_documents, odd_rows
 
 
+def plain_packing(sizes, capacity):
+    """The bin of each item, in falling order of sizes, by scanning all bins."""
+    room, out = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(left, b) for b, left in enumerate(room) if left >= size]
+        if fits:
+            out.append(min(fits)[1])
+        else:
+            out.append(len(room))
+            room.append(max(capacity, size))
+        room[out[-1]] -= size
+    return out
+
+
+def packed(sizes, capacity):
+    distinct = sorted(set(sizes), reverse=True)
+    runs = sharding.best_fit_decreasing(distinct, [sizes.count(s) for s in distinct], capacity)
+    return [b for own in runs for k, b in own for _ in range(k)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=40), st.integers(40, 80))
 def test_packing_agrees_with_a_scan_over_the_bins(sizes, capacity):
-    room, expect = [], [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fits = [(left, b) for b, left in enumerate(room) if left >= sizes[i]]
-        if fits:
-            expect[i] = min(fits)[1]
-        else:
-            expect[i] = len(room)
-            room.append(max(capacity, sizes[i]))
-        room[expect[i]] -= sizes[i]
-    assert sharding.best_fit_decreasing(sizes, capacity) == expect
+    assert packed(sizes, capacity) == plain_packing(sizes, capacity)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([8, 9, 20, 33, 90]), min_size=1, max_size=40), st.integers(2, 6))
+def test_bins_suffice_at_the_capacity_found(sizes, bins):
+    distinct = sorted(set(sizes), reverse=True)
+    runs = sharding.balanced_bins(distinct, [sizes.count(s) for s in distinct], bins)
+    where = [b for own in runs for k, b in own for _ in range(k)]
+    assert len(where) == len(sizes) and max(where) < bins
+    loads = [sum(s for s, b in zip(sorted(sizes, reverse=True), where, strict=True) if b == k) for k in range(bins)]
+    assert where == plain_packing(sizes, max(loads)) or max(loads) <= 2 * max(sum(sizes) / bins, max(sizes))
 
 
 def test_tree_finds_the_least_key_above():
@@ -42,8 +64,10 @@ def test_tree_finds_the_least_key_above():
 
 def test_bins_are_level():
     rng = random.Random(1)
-    sizes = [rng.randrange(1, 1000) for _ in range(2_000)]
-    where = sharding.balanced_bins(sizes, 24)
+    sizes = sorted((rng.randrange(1, 1000) for _ in range(2_000)), reverse=True)
+    distinct = sorted(set(sizes), reverse=True)
+    runs = sharding.balanced_bins(distinct, [sizes.count(s) for s in distinct], 24)
+    where = [b for own in runs for k, b in own for _ in range(k)]
     loads = [sum(s for s, b in zip(sizes, where, strict=True) if b == k) for k in range(24)]
     assert max(loads) - min(loads) < 0.01 * max(loads) and sum(loads) == sum(sizes)
 
@@ -71,6 +95,13 @@ def test_documents(spark):
         homes.setdefault(texts[r.doc_id], set()).add(r.shard)
     assert len(loads) == 24 and max(loads.values()) < 1.01 * min(loads.values())
     assert all(len(s) == 1 for s in homes.values())
+    # brute force: every group packed by itself, by scanning the bins at the capacity that the fullest shard shows
+    size = {t: sum(r.size for r in got if texts[r.doc_id] == t) for t in homes}
+    items = sorted(size.values(), reverse=True)
+    expect = [0] * 24
+    for s, b in zip(items, plain_packing(items, max(loads.values())), strict=True):
+        expect[b] += s
+    assert sorted(expect) == sorted(loads.values())
     again = {(r.doc_id, r.shard, r.slot) for r in sharding.sharded(docs.repartition(5)).collect()}
     assert again == {(r.doc_id, r.shard, r.slot) for r in got}
 
@@ -84,6 +115,15 @@ def test_a_group_above_a_shard_is_split(spark):
     assert max(loads.values()) < 1.1 * min(loads.values())
 
 
+def test_repeated_rows_and_null_ids_spread(spark):
+    rows = [(None, "the same text again and again")] * 900 + [(7, "text of one id")] * 900 + [(1000 + i, f"text {i} " * 3) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    loads = {}
+    for r in check(sharding.sharded(docs, 6), docs, 6):
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+    assert len(loads) == 6 and max(loads.values()) < 1.1 * min(loads.values())
+
+
 def test_odd_and_no_documents(spark):
     docs = odd_documents(spark)
     got = check(sharding.sharded(docs), docs)
