@@ -11,10 +11,10 @@ at most k = floor(2 r (1 - s) / (1 + s)) elements.  The hash domain is cut into
 n1 + e first-level parts with n1 (k2 + 1) > k, so in 1 + e of them at least the
 sets differ in no more than k2 elements; each is cut into n2 second-level parts,
 and every subset of n2 - k2 of these signs: one of them at least is equal.
-Subsets without elements would be shared by strangers.  A part is poor if one of its
-subsets has none; a set with at most e poor parts leaves such subsets out and still
-shares another signature, and a set with more (e is chosen so that few have)
-keeps them.  So no linked pair is lost.
+Subsets without elements, or with those of a frequent passage alone, would be shared by
+strangers.  A part is poor if one of its subsets has no elements or a signature that more than
+``HEAVY`` rows have.  A set with at most e poor parts leaves such signatures out and still
+shares another one with every linked set; a set with more keeps them.  So no linked pair is lost.
 
 Plan.  All signatures are shuffled once, alone, to find those that more than one row
 has; a bitmap of bounded size then keeps the others from being shuffled again (if
@@ -22,9 +22,9 @@ it fills up, more pass, and the result is the same).  Equal sets are one node
 (their 64-bit fingerprint), so copies cost nothing.  In a bucket of nodes with one
 signature, all are compared with the one that has met most others; groups of near copies become
 components for about one comparison a member.  What then lies in different
-components of a bucket of at most ``LIGHT`` nodes is compared pairwise.  The nodes of larger ones
-(strangers that share a frequent passage) sign again, with other parts of the domain: linked
-nodes share a signature of every family, strangers hardly ever do twice.  Only what meets in
+components of a bucket of at most ``HEAVY`` nodes is compared pairwise.  The nodes of larger ones
+(those that consist of frequent passages for the most part) sign again, with other parts of the domain: linked
+nodes share a signature of every family, strangers seldom do twice.  Only what meets in
 all ``FAMILIES`` is compared pairwise in buckets of any size.  Pairs first pass a
 lossless filter: the parities of a set's hashes in 1,024 cells, and then in as many cells as
 elements, differ in no more cells than the sets differ in elements.  The rest is
@@ -55,8 +55,10 @@ PARTS, DIFFERING = 3, 1
 SPARE = 0.15
 #: Smallest over largest size of a band: wider bands need more parts, narrower ones more sets that sign twice.
 BAND = 0.7
-#: Nodes of a bucket that are compared pairwise at once, and families of signatures.
-LIGHT, FAMILIES = 8, 3
+#: Nodes of a bucket that are compared pairwise at once (and rows of a signature that isn't heavy), and families of signatures.
+HEAVY, FAMILIES = 32, 2
+#: Bits of the bitmap of heavy signatures for each of them, over 16: others that it holds make parts poor.
+SPARSE = 32
 #: Signatures a text that other texts may have, as far as the bitmap's size is concerned.
 RECURRING = 24
 _U64 = np.uint64
@@ -123,8 +125,8 @@ class Bands:
             got = self._parts[band] = n1 + spare, spare, cuts, subsets, _U64((band * 0xC2B2AE3D27D4EB4F + self.family * 0xD6E8FEB86659FD93) % (1 << 64))
         return got
 
-    def signatures(self, own: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set for its own band and, if a larger set there may be linked, the next."""
+    def signatures(self, own: np.ndarray, heavy: np.ndarray | None = None) -> np.ndarray:
+        """Signatures of a sorted set for its own band and, if a larger set there may be linked, the next; heavy ones are in a bitmap."""
         band = self.of(len(own))
         both = self.of(len(own) * 100 // self.percent) > band
         if self.family:
@@ -140,6 +142,8 @@ class Bands:
             filled = ((at[1:] - at[:-1]).reshape(n1, -1) @ subsets > 0).ravel()
             part = ((total[at[1:]] - total[at[:-1]]).reshape(n1, -1) @ subsets.astype(_U64)).ravel()
             signature = mix(mix(part) ^ ((np.arange(len(part), dtype=_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15) + label))
+            if heavy is not None:
+                filled &= ~in_bitmap(heavy, signature)
             poor = (~filled).reshape(n1, -1).any(axis=1).sum()
             out.append(signature[filled] if poor <= spare else signature)
         return np.concatenate(out).view(np.int64)
@@ -161,17 +165,19 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes of a binary column without nulls, and the start and length of each value."""
+    """All bytes of a binary column, and the start and length of each value."""
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(data, dtype=np.uint8), at[:-1], np.diff(at)
 
 
 def differing_cells(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """In how many cells the packed parities of ``x`` and ``y`` differ, row by row, in the cells of the smaller one."""
+    """In how many cells the packed parities of ``x`` and ``y`` differ, row by row, in the cells of the smaller one; 0 where one is null."""
     (a, at_a, len_a), (b, at_b, len_b) = _bytes(x), _bytes(y)
     out = np.zeros(len(x), dtype=np.int64)
     for m, n in np.unique(np.stack([len_a, len_b], axis=1), axis=0):
+        if not m or not n:
+            continue
         rows = np.flatnonzero((len_a == m) & (len_b == n))
         for some in np.array_split(rows, -(-len(rows) * int(m + n) // (8 << 20))):
             u, v = a[at_a[some][:, None] + np.arange(m)], b[at_b[some][:, None] + np.arange(n)]
@@ -185,22 +191,41 @@ def _long_lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _often(docs: DataFrame, width: int, percent: int) -> Broadcast:
-    """A bitmap of the signatures that more than one row has; equal rows count too."""
+def _documents(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _is_wanted(own: np.ndarray, wanted: Broadcast | None) -> bool:
+    """Whether a set signs: it has elements and, if there is a bitmap of wanted nodes, may be one of them."""
+    return len(own) > 0 and (wanted is None or bool(in_bitmap(wanted.value, np.array([fingerprint(own)]))[0]))
+
+
+def _often(docs: DataFrame, width: int, percent: int, family: int = 0, wanted: Broadcast | None = None) -> tuple[Broadcast, Broadcast]:
+    """Bitmaps of the signatures that more than one row has, and of those that more than ``HEAVY`` have; equal rows count too.
+
+    Nearly all signatures are unique, so they are shuffled bare and counted once; a batch
+    passes on at most ``HEAVY`` + 1 of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands = Bands(percent, family)
         for batch in batches:
             named = np.asarray(batch.column(0).is_valid())
-            signs = [bands.signatures(own) for own, known in zip(text_sets(batch.column(1), width), named, strict=True) if known and len(own)]
+            signs = [bands.signatures(own) for own, known in zip(text_sets(batch.column(1), width), named, strict=True) if known and _is_wanted(own, wanted)]
             if signs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs))], names=["signature"])
-
-    signatures = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "signature long")
-    return bitmap(signatures.groupBy("signature").count().where("count > 1"), "signature", RECURRING * docs.count())
+                sign, count = np.unique(np.concatenate(signs), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(sign, np.minimum(count, HEAVY + 1)))], names=["signature"])
+
+    signatures = _documents(docs).mapInArrow(run, "signature long")
+    counts = signatures.repartition("signature").groupBy("signature").count().where("count > 1")
+    often = written(counts.select("signature", (F.col("count") > HEAVY).alias("heavy")), "often")
+    heavy = often.where("heavy")
+    out = bitmap(often, "signature", RECURRING * docs.count() if family == 0 else often.count()), bitmap(heavy, "signature", SPARSE * heavy.count())
+    dropped(often)
+    return out
 
 
-def signed(docs: DataFrame, width: int, percent: int, often: Broadcast) -> DataFrame:
+def signed(docs: DataFrame, width: int, percent: int, often: Broadcast, heavy: Broadcast) -> DataFrame:
     """One row per text: set size, node, parity sketch and those of its signatures that other rows may have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,15 +237,36 @@ def signed(docs: DataFrame, width: int, percent: int, often: Broadcast) -> DataF
                 node.append(fingerprint(own) if len(own) else None)
                 bits = parities(own)
                 sketch.append(folded(bits, 8 * SKETCH).view(np.int64))
-                wide.append(bits.tobytes())
-                found = bands.signatures(own) if len(own) else np.zeros(0, dtype=np.int64)
+                wide.append(bits.tobytes() if len(bits) > 8 * SKETCH else None)
+                found = bands.signatures(own, heavy.value) if len(own) else np.zeros(0, dtype=np.int64)
                 signs.append(found[in_bitmap(often.value, found)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _long_lists(sketch), pa.array(wide, pa.binary()), _long_lists(signs)],
                 names=["doc_id", "n_shingles", "node", "sketch", "wide", "signatures"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
+    return _documents(docs).mapInArrow(run, SIGNED)
+
+
+def _signed_again(docs: DataFrame, nodes: DataFrame, width: int, percent: int, family: int) -> DataFrame:
+    """``signature, node`` of the given nodes, and of few others, in another family; no text is shuffled."""
+    wanted = bitmap(nodes, "node", SPARSE * nodes.count())
+    often, heavy = _often(docs, width, percent, family, wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent, family)
+        for batch in batches:
+            named = np.asarray(batch.column(0).is_valid())
+            node, signs = [], []
+            for own, known in zip(text_sets(batch.column(1), width), named, strict=True):
+                if known and _is_wanted(own, wanted):
+                    found = bands.signatures(own, heavy.value)
+                    signs.append(found[in_bitmap(often.value, found)])
+                    node.append(fingerprint(own))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(signs)), pa.array(np.repeat(node, [len(x) for x in signs]))], names=["signature", "node"])
+
+    return _documents(docs).mapInArrow(run, "signature long, node long")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -257,7 +303,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, p
     met = met.select("p.a", "p.b", F.col("a.doc_id").alias("doc_a"), F.col("b.doc_id").alias("doc_b"), F.col("a.wide").alias("wa"), F.col("b.wide").alias("wb"), F.col("a.n") + F.col("b.n"))
     likely = written(met.mapInArrow(alike, LIKELY), "likely")
     wanted = likely.select(F.explode(F.array(F.struct(F.col("doc_a").alias("doc_id"), F.col("a").alias("node")), F.struct(F.col("doc_b").alias("doc_id"), F.col("b").alias("node")))).alias("w")).select("w.*").distinct()
-    texts = likely_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted).join(wanted, "doc_id")
+    texts = likely_in(_documents(docs), wanted).join(wanted, "doc_id")
     sets = written(shingle_sets(texts, width), "sets")
     x, y = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -280,13 +326,13 @@ def _shared(signed: DataFrame) -> DataFrame:
 
 def _apart(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, light: int | None) -> tuple[DataFrame, DataFrame | None]:
     """Pairs ``a, b`` of nodes with different labels that meet in buckets of at most ``light`` nodes (None: of any size) and may
-    link, and ``doc_id, node`` of the nodes of larger buckets with different labels."""
+    link, and the nodes of larger buckets with different labels."""
     placed = buckets.join(labels, "node")
     mixed = placed.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("met")).where("x <> y").select("signature", "met")
     placed = written(placed.join(mixed, "signature"), "placed")
     heavy = None
     if light is not None:
-        heavy = written(placed.where(F.col("met") > light).select("node").distinct().join(nodes.select("node", "doc_id"), "node").select("doc_id", "node"), "heavy")
+        heavy = written(placed.where(F.col("met") > light).select("node").distinct(), "heavy")
         placed = placed.where(F.col("met") <= light)
     placed = placed.drop("met").join(nodes.select("node", "n", "sketch"), "node")
     a, b = placed.alias("a"), placed.alias("b")
@@ -294,26 +340,6 @@ def _apart(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int
     return a.join(b, apart & _may_link(percent)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), heavy
 
 
-def _signed_again(docs: DataFrame, wanted: DataFrame, width: int, percent: int, family: int) -> DataFrame:
-    """``signature, node`` of the wanted nodes (``doc_id, node``) in another family."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent, family)
-        for batch in batches:
-            own = [(node, bands.signatures(s)) for node, s in zip(batch.column(0).to_pylist(), map(lambda x: x.view(_U64), _lists(batch.column(1))), strict=True)]
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s for _, s in own])), pa.array(np.repeat([node for node, _ in own], [len(s) for _, s in own]))], names=["signature", "node"])
-
-    texts = likely_in(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), wanted).join(wanted, "doc_id")
-    return shingle_sets(texts, width).mapInArrow(run, "signature long, node long")
-
-
-def _lists(column: pa.Array) -> Iterator[np.ndarray]:
-    flat, size = column.flatten().to_numpy(), column.value_lengths().to_numpy()
-    end = np.cumsum(size)
-    return (flat[e - n : e] for e, n in zip(end, size, strict=True))
-
-
 def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Groups of texts by the Jaccard similarity of their shingle sets.
 
@@ -331,7 +357,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """:func:`jaccard_groups` with the ``node`` of each row, null without words or id."""
     spark = docs.sparkSession
     arrow_batches(spark)
-    base = written(signed(docs, width, percent, _often(docs, width, percent)), "signed")
+    base = written(signed(docs, width, percent, *_often(docs, width, percent)), "signed")
     linkable = base.where("n_shingles > 0 and doc_id is not null")
     nodes = linkable.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max(F.struct(*[F.element_at("sketch", i + 1).alias(f"s{i}") for i in range(SKETCH)], "wide")).alias("s"))
     nodes = written(nodes.select("node", "doc_id", "n", F.array(*[f"s.s{i}" for i in range(SKETCH)]).alias("sketch"), "s.wide"), "nodes")
@@ -345,7 +371,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     labels = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("label"))
     rest, left = None, buckets
     for family in range(1, FAMILIES + 1):
-        light, heavy = _apart(left, labels, nodes, percent, LIGHT if family < FAMILIES else None)
+        light, heavy = _apart(left, labels, nodes, percent, HEAVY if family < FAMILIES else None)
         rest = light if rest is None else rest.union(light)
         if heavy is None or heavy.isEmpty():
             break
