@@ -61,25 +61,27 @@ def segments(position: np.ndarray, score: np.ndarray, penalty: float = PENALTY)
     """All maximal-scoring segments of a sequence in which the given positions have the given
     positive scores and all others the penalty: first and last position, score.
 
-    Ruzzo and Tompa's algorithm with runs of penalties taken in one step.
+    Ruzzo and Tompa's algorithm with runs of penalties taken in one step.  Each candidate knows the last one
+    before it with a smaller total, and a search goes from one to the next: what it passes is never seen again.
     """
-    found: list[list[float]] = []  # first, last, total before, total after
+    found: list[list[float]] = []  # first, last, total before, total after, the last one with a smaller total before
     total, at = 0.0, -1
     for p, s in zip(position.tolist(), score.tolist(), strict=True):
         total += penalty * (p - at - 1)
         at = p
-        new = [p, p, total, total + s]
+        new = [p, p, total, total + s, -1]
         total += s
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= new[3]:
+                new[4] = j
                 found.append(new)
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            new = [found[j][0], new[1], found[j][2], new[3], -1]
             del found[j:]
-    return [(int(a), int(b), after - before) for a, b, before, after in found]
+    return [(int(a), int(b), after - before) for a, b, before, after, _ in found]
 
 
 @dataclass
@@ -234,6 +236,7 @@ def scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Toxicity of every whole text: ``doc_id, n_tokens, n_segments, evidence, score``, one row per input row.
 
     Null and empty texts have no tokens and no evidence, and score as texts without toxic passages do.
+    Rows with null ids are scored like others, equal texts alike; an empty table gives none.
     """
     arrow_batches(docs.sparkSession)
 

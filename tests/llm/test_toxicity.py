@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,6 +42,14 @@ def test_segments_agree_with_their_definition(tokens):
     assert all(abs(s - sum(scores[a : b + 1])) < 1e-9 for a, b, s in got)
 
 
+def test_segments_take_linear_time():
+    at = np.arange(0, 400_000, 2)
+    for scores in (np.full(200_000, 0.9), np.linspace(0.5, 1.5, 200_000), np.tile([3.0, 0.1, 0.2, 0.1], 50_000)):
+        began = time.process_time()
+        toxicity.segments(at, scores, -1.0)
+        assert time.process_time() - began < 3
+
+
 def test_held_out_documents(spark):
     got = op8_toxic_segments(spark, SMALL).toPandas().merge(spark.read.parquet(f"{SMALL}/labels.parquet").toPandas(), on="doc_id")
     assert got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.3)).all()
