@@ -74,15 +74,17 @@ VALUES = {
     "display": frozenset("none block inline inline-block flex inline-flex grid inline-grid flow flow-root contents list-item run-in ruby math table inline-table table-row table-cell table-caption table-column table-column-group table-row-group table-header-group table-footer-group -webkit-box -webkit-inline-box -webkit-flex -webkit-inline-flex inherit initial unset revert revert-layer".split()),
     "visibility": frozenset("visible hidden collapse inherit initial unset revert revert-layer".split()),
 }
-#: Widest column that cells are padded to.
-WIDEST = 60
+#: Padding that a table's alignment may cost, as a multiple of its text and as a number of characters; beyond it columns are padded to ``WIDEST``.
+PADDING, LEAST_PADDING, WIDEST = 8, 10_000, 60
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.S)
-_UNENDED = re.compile(r"</?[a-zA-Z][^>]*\Z")
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>\"']")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_UNQUOTED = re.compile(r"=\s*[^\s\"'>]*/\Z")
+_UNQUOTED = re.compile(r"/[^\s\"'>=]*\s*=")  # of reversed text
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|url\([^)"']*\)|\\.|[{};]|(?:(?!url\(|<!--|-->|/\*)[^{};"'\\])+|\\""", re.S | re.I)
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|<!--|-->|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|url\([^)"']{0,256}\)|\\.|[{};]|(?:(?!url\(|<!--|-->|/\*)[^{};"'\\])+|\\""", re.S | re.I)
 _STYLE = re.compile(r"<style", re.I)
 _MEDIUM = re.compile(r"(?:(not|only) )?([a-z][-a-z]*)(?: and |$)")
 _LENGTH = r"([\d.]+)(px|em|rem|pt|cm|in)?"
@@ -99,6 +101,47 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _next_token(page: str, at: int, lacks: set[str]) -> tuple[int, int, str, str, str] | None:
+    """The next tag, comment or declaration from ``at`` on: start, end, and the name of an end tag, or name and
+    attributes of a start tag.  None if there is none.
+
+    A quoted value may hold ``>``.  ``lacks`` remembers quotes that don't end any more, so that no part of a page is searched
+    again and again; a tag that has no end even then takes the rest of the page, as in browsers.
+    """
+    m = _OPEN.search(page, at)
+    if m is None:
+        return None
+    start, sign = m.start(), m[0]
+    if sign == "<!--":
+        close = _COMMENT_END.search(page, start + 4)
+        return start, close.end() if close else len(page), "", "", ""
+    if sign in ("<!", "<?"):
+        return start, page.find(">", start + 2) + 1 or len(page), "", "", ""
+    name = _NAME.match(page, m.end() - 1)
+    if sign[1] == "/":
+        return start, page.find(">", name.end()) + 1 or len(page), name[0], "", ""
+    position = name.end()
+    while True:
+        stop = _STOP.search(page, position)
+        if stop is None:
+            if len(lacks) == 2:
+                return start, len(page), "", "", ""
+            lacks.update("\"'")
+            position = name.end()
+        elif stop[0] == ">":
+            return start, stop.end(), "", name[0], page[name.end() : stop.start()]
+        else:
+            position, before = stop.end(), stop.start() - 1
+            while before >= name.end() and page[before].isspace():
+                before -= 1
+            if stop[0] not in lacks and before >= name.end() and page[before] == "=":
+                close = page.find(stop[0], position)
+                if close < 0:
+                    lacks.add(stop[0])
+                else:
+                    position = close + 1
+
+
 def events(page: str) -> Iterator[Event]:
     """Nested ("open", tag, attributes), ("close", tag, {}), ("text", text, {}) and ("raw", content, {}) events of a page.
 
@@ -107,7 +150,7 @@ def events(page: str) -> Iterator[Event]:
     stack: list[str] = []
     deep: list[str] = []  # open elements beyond the deepest of the stack
     counts: Counter[str] = Counter()  # of them
-    at, size, lower = 0, len(page), None
+    at, size, lower, lacks = 0, len(page), None, set()
 
     def rise(position: int) -> Iterator[Event]:
         while len(deep) > position:
@@ -140,17 +183,16 @@ def events(page: str) -> Iterator[Event]:
         return found
 
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = _UNENDED.sub("", page[at:])
-            if rest:
-                yield "text", unescape(rest), {}
+        found = _next_token(page, at, lacks)
+        if found is None:
+            yield "text", unescape(page[at:]), {}
             break
-        if m.start() > at:
-            yield "text", unescape(page[at : m.start()]), {}
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
+        start, end, ends, begins, rest = found
+        if start > at:
+            yield "text", unescape(page[at:start]), {}
+        at = end
+        if ends:
+            tag = ends.lower()
             if tag == "br":
                 yield "open", "br", {}
                 yield "close", "br", {}
@@ -170,16 +212,16 @@ def events(page: str) -> Iterator[Event]:
                         break
                     if stack[i] == "table":
                         break
-        elif m[2]:
-            tag, attributes = m[2].lower(), _attributes(m[3]) if m[3] else {}
+        elif begins:
+            tag, attributes = begins.lower(), _attributes(rest) if rest else {}
             drawing = next((i for i in range(len(stack) - 1, -1, -1) if stack[i] in ("svg", "math") or stack[i] in HOLDS_HTML), -1) if "svg" in stack or "math" in stack else -1
             if drawing >= 0 and stack[drawing] in HOLDS_HTML:
                 drawing = -1
             if drawing >= 0 and tag in ENDS_DRAWING:
                 yield from pop_to(drawing)
                 drawing = -1
-            if drawing >= 0 or (tag in ("svg", "math") and m[3]):
-                if m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+            if drawing >= 0 or (tag in ("svg", "math") and rest):
+                if rest.endswith("/") and not _UNQUOTED.match(rest[::-1]):
                     yield "open", tag, attributes
                     yield "close", tag, {}
                     continue
@@ -220,6 +262,8 @@ def events(page: str) -> Iterator[Event]:
                     if len(lower) != size:
                         lower = re.sub("[A-Z]", lambda x: x[0].lower(), page)
                 end = lower.find(f"</{tag}", at)
+                while 0 <= end < size - len(tag) - 2 and lower[end + len(tag) + 2] not in " \t\n\r\f/>":
+                    end = lower.find(f"</{tag}", end + 2)  # a longer name
                 end = size if end < 0 else end
                 yield "raw", page[at:end], {}
                 yield "close", tag, {}
@@ -280,28 +324,53 @@ class _Flow:
         return self.lines
 
 
-def _table(rows: list[list[tuple[list[str], int]]]) -> Iterator[str]:
-    """Lines of a table: columns padded to their widest line, up to ``WIDEST``, two spaces apart."""
-    wide: dict[int, int] = {}
-    for row in rows:
-        column = 0
-        for lines, span in row:
-            if span == 1:
-                wide[column] = max(wide.get(column, 0), min(max(map(len, lines), default=0), WIDEST))
-            column += span
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            out, column = [], 0
-            for lines, span in row:
-                room = sum(wide.get(c, 0) for c in range(column, column + min(span, len(wide) + 1))) + 2 * (span - 1 if span <= len(wide) else 0)
-                out.append((lines[k] if k < len(lines) else "").ljust(room))
-                column += span
-            yield "  ".join(out).rstrip()
+Cell = tuple[list[str], int, int]  # lines, columns, rows
 
 
-def _span(attributes: dict[str, str]) -> int:
-    value = attributes.get("colspan", "1")
-    return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 6 else 1
+def _table(rows: list[list[Cell]]) -> Iterator[str]:
+    """Lines of a table: columns as wide as their widest line, two spaces apart; cells keep their columns beside those that span rows."""
+    placed: list[list[tuple[int, Cell]]] = []
+    taken: dict[int, int] = {}  # columns that cells of rows above reach into, and for how many rows more
+    wide: dict[int, int] = {}
+    for row in rows:
+        column, own, reach = 0, [], {}
+        for cell in row:
+            while taken.get(column):
+                column += 1
+            own.append((column, cell))
+            if cell[1] == 1:
+                wide[column] = max(wide.get(column, 0), max(map(len, cell[0]), default=0))
+            if cell[2] > 1:
+                reach |= dict.fromkeys(range(column, column + cell[1]), cell[2] - 1)
+            column += cell[1]
+        placed.append(own)
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | reach
+    columns = max(wide, default=-1) + 1
+
+    def edges(most: int | None) -> list[int]:
+        out = [0]
+        for c in range(columns):
+            width = wide.get(c, 0)
+            out.append(out[-1] + (width if most is None else min(width, most)) + 2)
+        return out
+
+    edge = edges(None)
+    text = sum(len(line) for row in rows for lines, _, _ in row for line in lines)
+    if sum(edge[min(own[-1][0], columns)] * max(len(lines) for _, (lines, _, _) in own) for own in placed if own) > PADDING * text + LEAST_PADDING:
+        edge = edges(WIDEST)
+    for own in placed:
+        for k in range(max((len(lines) for _, (lines, _, _) in own), default=0)):
+            out = ""
+            for column, (lines, _, _) in own:
+                if k < len(lines) and lines[k]:
+                    out = out.ljust(edge[min(column, columns)])
+                    out += ("  " if out and not out.endswith("  ") else "") + lines[k]
+            yield out.rstrip()
+
+
+def _span(attributes: dict[str, str], name: str, most: int) -> int:
+    value = attributes.get(name, "1")
+    return min(max(int(value), 1), most) if value.isascii() and value.isdigit() and len(value) < 6 else 1
 
 
 class _Rules(dict[str, dict[str, tuple]]):
@@ -402,7 +471,7 @@ def _add_rules(sheet: str, rules: _Rules) -> None:
             declare()
             stack.pop()
             piece = []
-        elif token == ";" and (selectors is not None or "".join(piece).lstrip()[:1] == "@"):
+        elif token == ";" and (selectors is not None or next((t.lstrip()[0] for t in piece if t.strip()), "") == "@"):
             declare()
             piece = []
         else:
@@ -451,7 +520,7 @@ def render(page: str | None) -> str:
         found = list(found)
         rules = _sheets(found)
     flow, flows = _Flow(), []
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[Cell]]] = []
     # of each open element: tag, not displayed, hidden, what to undo at its end, and whether text is drawn (None: not inside svg)
     stack: list[tuple] = []
     pre = 0
@@ -518,7 +587,7 @@ def render(page: str | None) -> str:
                         flow.piece, flow.pending = [], False
                 elif name in CELLS or name == "caption":
                     flows.append(flow)
-                    flow, undo = _Flow(), (pre, lists, _span(attributes))
+                    flow, undo = _Flow(), (pre, lists, _span(attributes, "colspan", 1000), _span(attributes, "rowspan", 65_534))
                     pre, lists = 0, []
                 elif name == "table":
                     flow.block(True)
@@ -559,14 +628,14 @@ def render(page: str | None) -> str:
                 flow.pending = True
             if tag in CELLS:
                 lines, flow = flow.done(), flows.pop()
-                pre, lists, span = undo
+                pre, lists, columns, rows = undo
                 if tables:
                     if not tables[-1]:
                         tables[-1].append([])
-                    tables[-1][-1].append((lines, span))
+                    tables[-1][-1].append((lines, columns, rows))
             elif tag == "caption":
                 lines, flow = flow.done(), flows.pop()
-                pre, lists, _ = undo
+                pre, lists, *_ = undo
                 for line in lines:
                     flow.line(line)
             elif tag == "table":

@@ -1,3 +1,6 @@
+import random
+import time
+
 import re
 from html.parser import HTMLParser
 
@@ -151,3 +154,45 @@ def test_what_is_not_seen_stays_unseen_at_any_depth():
         page = "<b>" * n + "<script>no()</script><style>.n{display:none}</style><i hidden>no<u>no</u></i>a <i class=n>no</i><i style='visibility:hidden'>no<u style='visibility:visible'>b</u></i><details>no<summary> c</summary>no</details><textarea>d</textarea>"
         assert html.render(page + "<p hidden>no<p> e<div hidden><p>no</div></b> f").split() == ["a", "b", "c", "d", "e", "f"], n
     assert html.render("<div>" * 50_000 + "x" + "</b>" * 50_000 + "</div>" * 50_000 + "y").split() == ["x", "y"]
+
+
+def test_cells_that_span_rows_keep_their_columns():
+    assert lines("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>") == ["A  B", "   C", "D  E"]
+    wide = "w" * 90
+    assert lines(f"<table><tr><td>{wide}<td>b<tr><td>a<td>c</table>") == [f"{wide}  b", "a" + " " * 91 + "c"]
+
+
+def test_layout_agrees_with_a_plain_grid():
+    rng = random.Random(4)
+    for _ in range(60):
+        columns, rows = rng.randrange(1, 5), rng.randrange(1, 6)
+        owner, cells = {}, {}
+        for r in range(rows):
+            for c in range(columns):
+                if (r, c) not in owner:
+                    tall = rng.choice([1, 1, 1, min(2, rows - r)])
+                    cells[r, c] = (f"t{r}{c}" + "x" * rng.randrange(6), tall)
+                    for k in range(tall):
+                        owner[r + k, c] = (r, c)
+        page = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={cells[r, c][1]}>{cells[r, c][0]}" for c in range(columns) if (r, c) in cells) for r in range(rows)) + "</table>"
+        width = [max((len(t) for (_, d), (t, _) in cells.items() if d == c), default=0) for c in range(columns)]
+        expect = ["  ".join((cells[r, c][0] if (r, c) in cells else "").ljust(width[c]) for c in range(columns)).rstrip() for r in range(rows) if any((r, c) in cells for c in range(columns))]
+        assert lines(page) == expect, page
+
+
+def test_a_longer_name_ends_no_script():
+    assert html.render("a<script>x</scripts>no</script>b") == "ab"
+    assert html.render("a<script>x</script >b") == "ab"
+
+
+def test_hostile_pages_take_linear_time():
+    size = 1 << 20
+    for piece in ("<a ", "<a b='", "<a b=\"", "<a b='x\" ", "</a ", "<!--", "<![", "<a b = c/ "):
+        for end in ("", ">", "'>x"):
+            began = time.process_time()
+            html.render(piece * (size // len(piece)) + end)
+            assert time.process_time() - began < 8, piece  # seconds of a slow machine
+    for css in ("a b; ", "url(", "\"", "/*", "@x ", "\\"):
+        began = time.process_time()
+        html.render("<style>" + css * (size // len(css)))
+        assert time.process_time() - began < 8, css
