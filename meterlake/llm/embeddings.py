@@ -31,6 +31,24 @@ SEED = 3
 BUCKETS = "node long, dim int, table int, bucket long, own boolean"
 
 
+#: The same result in DuckDB by comparing all pairs.
+ORACLE = """
+WITH RECURSIVE given AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (
+  SELECT vec_id, e, sqrt(list_sum([x * x FOR x IN e])) AS length FROM given
+  WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.length * b.length) >= 0.9
+), reached(a, b) AS (
+  SELECT vec_id, vec_id FROM given UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), named AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT given.vec_id, coalesce(n, 0) AS n_links, component_id, given.vec_id = component_id AS kept
+FROM given JOIN named USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """The fast Walsh-Hadamard transform of each row, scaled to keep lengths."""
     n, d = x.shape

@@ -93,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_cross_polytope_neighbours": embeddings.ORACLE,
+    "op5_ngram_jaccard_join": jaccard.ORACLE,
     "op6_url_temporal_lists": urls.ORACLE,
     "op10_benchmark_containment": containment.ORACLE,
 }
