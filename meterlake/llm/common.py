@@ -20,10 +20,12 @@ ARROW_BATCH_ROWS, ARROW_BATCH_BYTES = 1_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (only where it is unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or (only where it is unset and all runs in one process, as in tests) a temporary one."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="meterlake-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -95,11 +95,12 @@ def _blocks(benchmark: DataFrame, width: int, threshold: Fraction) -> Iterator[B
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     block, size = [], 0
     for row in items.orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(row.text) > BLOCK_BYTES:
+        n = len(row.text.encode())
+        if block and size + n > BLOCK_BYTES:
             yield sc.broadcast(Index(block, width, threshold))
             block, size = [], 0
         block.append((row.item_id, row.text))
-        size += len(row.text)
+        size += n
     if block:
         yield sc.broadcast(Index(block, width, threshold))
 

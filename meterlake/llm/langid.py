@@ -57,7 +57,15 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _letters(classes: np.ndarray) -> np.ndarray:
+    """Which normalised characters are letters; combining marks are not, and a text of marks alone has no letter."""
+    out = np.zeros(1 << 16, dtype=bool)
+    out[classes[[point for point in range(sys.maxunicode + 1) if chr(point).isalpha()]]] = True
+    return out
+
+
 _class: list[np.ndarray] = []
+_letter: list[np.ndarray] = []
 
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +204,9 @@ class LanguageModel:
         n, out = np.zeros(len(column), dtype=np.int64), np.zeros((len(column), len(self.languages)))
         for row, end, data, offsets in slices(column):
             chars, bounds = characters(data, offsets)
-            letters = np.concatenate([[0], np.cumsum(chars != SPACE)])
+            if not _letter:
+                _letter.append(_letters(_class[0]))
+            letters = np.concatenate([[0], np.cumsum(_letter[0][chars])])
             n[row:end] = np.where(letters[bounds[1:]] > letters[bounds[:-1]], np.diff(bounds), 0)
             total = np.zeros((len(chars) + 1, len(self.languages)))
             np.cumsum(self.log_probabilities(ngrams(chars, bounds)), axis=0, dtype=np.float64, out=total[1:])
@@ -266,6 +276,7 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     Columns ``doc_id`` and ``text`` are read, others ignored.  Null texts and
     texts without a letter get ``und``, score 0 and no cross-entropy, and are
     rejected.  Of equal cross-entropies the first language by name wins.
+    Repeated rows and rows with null ids are predicted like others; an empty table gives none.
     """
     arrow_batches(docs.sparkSession)
 

@@ -210,7 +210,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str = "quality", k: int |
     per trigram.  Null, empty and one- or two-byte texts have no trigram, a
     weight of -inf and are never selected.  Rows that tie with the k-th key
     are all selected; rows with a null id share their noise.  Conflicting
-    labels of one id count as bad.
+    labels of one id count as bad.  An empty table gives none.
     """
     model = fit(docs, labels, label)
     rows = written(scores(docs, model), "quality")

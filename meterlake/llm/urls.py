@@ -48,7 +48,7 @@ def host_of(url: Column) -> Column:
 
 def path_of(url: Column) -> Column:
     """The path of a URL without query and fragment."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
+    return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"[?#].*$", ""), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/\\]*", "")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -88,6 +88,7 @@ def evaluated(captures: DataFrame, entries: DataFrame, allowed: tuple[str, ...]
     ``page_id, url, fetched_on, host, lists`` (names in order, joined by
     commas), ``n_lists, blocked``; blocked is on a list and on no
     allowing one.  Captures with a null or host-less URL, or no time, are on no list.
+    Repeated captures each have a row; an empty table gives none, and without entries nothing is listed.
     """
     spans = intervals(entries)
     size = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0)), *(F.coalesce(F.max(F.when(F.col("key").startswith(k), F.size(F.split("key", by)))), F.lit(d)) for k, by, d in (("domain:", r"\.", 0), ("prefix:", "/", 1)))).first()

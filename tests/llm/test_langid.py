@@ -89,6 +89,8 @@ def test_odd_and_no_documents(spark):
         assert got[key].lang_pred == "und" and got[key].score == 0 and got[key].rejected
     assert {r.lang_pred for r in got.values()} <= {"en", "de", "fr", "und"}
     assert langid.identified(no_documents(spark), model).count() == 0
+    marks = spark.createDataFrame([(1, "\u0301\u0302 \u093e 12"), (2, "e\u0301t\u00e9")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.identified(marks, model).orderBy("doc_id").collect()] == [True, False]
     nothing = langid.fit(no_documents(spark), F.lit(True))
     assert {r.lang_pred for r in langid.identified(docs, nothing).collect()} == {"und"}
 
