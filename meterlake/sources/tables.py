@@ -62,6 +62,8 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
 
     Keys are looked for in the partitions that the source has rows for, and in all where a key may have
     moved: the table is rewritten there, staged first, as it can't be overwritten while it is read.
+    Partitions that their last row leaves are deleted when all is written: a run that breaks off loses nothing,
+    and the next one mends it.
     Of several source rows with one key the greatest by all columns wins.
     """
     others = [c for c in df.columns if c not in keys]
@@ -82,11 +84,16 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
     kept = kept.join(source, same(kept, source, keys), "left_anti")
     staged = scratch_path(spark, "upsert")
     kept.unionByName(source).write.parquet(staged)
-    if partition_by:  # partitions whose last row has moved away would stay: remove them first
-        left = spark.read.parquet(staged).select(*partition_by).distinct()
-        for row in touched.join(left, same(touched, left, partition_by), "left_anti").collect():
-            drop(spark, "/".join([path, *(f"{c}={row[c]}" for c in partition_by)]))
+    vacated: list[str] = []
+    if partition_by:  # partitions whose last row has moved away, by the names that Spark gave their folders
+        left = spark.read.schema(target.schema).parquet(staged).select(*partition_by).distinct()
+        gone = touched.join(left, same(touched, left, partition_by), "left_anti")
+        homes = target.select(*partition_by, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("_home"))
+        vacated = [r[0] for r in homes.join(gone, same(homes, gone, partition_by), "left_semi").select("_home").distinct().collect()]
     write(spark.read.schema(target.schema).parquet(staged), path, partition_by=partition_by, fmt=fmt)
+    for home in vacated:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(home))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     drop(spark, staged)
 
 

@@ -83,6 +83,15 @@ def test_upserts(spark, tmp_path):
         assert got == sorted([("a", 10, "x"), ("b", 2, "x"), (None, 30, "y"), ("m", 40, "x"), ("n", 5, "y"), ("z", 9, "x")], key=str)
 
 
+@pytest.mark.parametrize("home", [None, "a:b", "x=y/z%20 w"])
+def test_a_key_leaves_any_partition(spark, tmp_path, home):
+    path = str(tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k string, v int, d string")
+    tables.upsert(spark, frame(("z", 1, home), ("a", 2, "q")), path, ["k"], ["d"])
+    tables.upsert(spark, frame(("z", 3, "x")), path, ["k"], ["d"])
+    assert sorted(tuple(r) for r in tables.read(spark, path).select("k", "v", "d").collect()) == [("a", 2, "q"), ("z", 3, "x")]
+
+
 def test_maintenance(spark, tmp_path):
     path = str(tmp_path / "t")
     assert not tables.exists(spark, path)
