@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from ..config import EVENT_TYPES, SEVERITIES
 from ..schemas import EVENT_RAW, TELEMETRY_RAW
 
-#: Kinds of assets with rated power and the number in a building; a sensor hangs below each.
-KINDS = (("CHILLER", 350.0, 1), ("AHU", 45.0, 2), ("PUMP", 22.0, 1), ("BOILER", 180.0, 1), ("METER", 1.0, 1))
-#: Texts in place of a time, outliers, and payloads that don't parse.
-BAD_TIMES = ("not-a-timestamp", "", "0000-00-00T00:00:00Z", "1970-01-01T00:00:00Z", "2999-01-01T00:00:00Z")
-OUTLIERS = ("-999", "9999.99", "1e6", "-45000")
-BROKEN = ('{"timestamp": "2026-', "plain text", "nan", "\x00\x01", '{"a": 1,, "b": 2}')
+#: Kinds of assets of the made-up estate, with rated power and the number in a building; the tower feeds the fans, and a sensor hangs below each.
+KINDS = (("TOWER", 125.0, 1), ("FAN", 7.5, 3), ("LIFT", 33.0, 1), ("OVEN", 60.0, 1), ("COUNTER", 0.4, 1))
+#: What stands in place of a time, temperatures beyond any building, and payloads that don't parse.
+BAD_TIMES = ("noon or so", "2026-02-31T08:00:00Z", "99:99", "yesterday")
+OUTLIERS = ("-274.5", "5120", "73000.5")
+BROKEN = ("{", "[1, 2", "sensor rebooted", '{"temperature": }', '"half a line')
 
 
 @dataclass(frozen=True)
@@ -57,8 +57,8 @@ class Generator:
         return rows.select(name.alias("building_id"), F.concat(F.lit("Building "), name).alias("building_name"), "site_id", (2_000 + F.floor(self._u("area", name) * 20_000)).cast("double").alias("floor_area_sqm"), F.lit("Office").alias("building_type"))
 
     def assets(self) -> DataFrame:
-        """In each building a chiller feeds air handlers, a pump stands by itself, each has a sensor below it."""
-        entries = [(f"{kind}-{i + 1}", kind, power, "CHILLER-1" if kind == "AHU" else None) for kind, power, n in KINDS for i in range(n)]
+        """In each building a tower feeds fans, the rest stands by itself, and each has a sensor below it."""
+        entries = [(f"{kind}-{i + 1}", kind, power, "TOWER-1" if kind == "FAN" else None) for kind, power, n in KINDS for i in range(n)]
         entries += [(f"{name}-S", "SENSOR", 0.1, name) for name, *_ in entries]
         kinds = self.spark.createDataFrame(entries, "name string, asset_type string, rated_power_kw double, parent string")
         rows = self.buildings().select("site_id", "building_id").crossJoin(F.broadcast(kinds))  # a dozen kinds
@@ -110,7 +110,7 @@ class Generator:
             {
                 "temperature": F.when(hit("missing"), None).when(hit("outlier"), self._pick(OUTLIERS, pick)).otherwise(F.col("temperature")),
                 "timestamp": F.when(hit("bad_time"), self._pick(BAD_TIMES, pick)).otherwise(F.col("timestamp")),
-                "asset_id": F.when(hit("unknown_asset"), F.concat(F.lit("UNREGISTERED-"), F.floor(pick * 9_000 + 1_000).cast("string"))).otherwise(F.col("asset_id")),
+                "asset_id": F.when(hit("unknown_asset"), F.concat(F.lit("GHOST-"), F.hex(F.floor(pick * (1 << 24)).cast("long")))).otherwise(F.col("asset_id")),
                 "ingest_date": F.when(hit("late"), F.date_add("ingest_date", 1 + (pick * 2).cast("int"))).otherwise(F.col("ingest_date")),
             }
         )
