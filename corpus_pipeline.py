@@ -13,27 +13,39 @@ from meterlake.llm.common import written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the quality classifier doesn't sample."""
+    """Drop the documents that the quality classifier doesn't sample: those without a trigram (null and empty texts), and those whose key is below the limit.
+
+    Each row is decided by its own text and id, so repeated rows stay or go together.  An empty table gives none.
+    """
     return quality.resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: five words, a Jaccard similarity of 0.8."""
+    """Keep one document of each group of near duplicates: five words, a Jaccard similarity of 0.8.
+
+    The one with the smallest id stays.  Rows with a null id or without words all stay.  An empty table gives none.
+    """
     return jaccard.representatives(docs, width=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a benchmark item: five words, a containment of 0.8."""
+    """Drop the documents that hold a benchmark item: five words, a containment of 0.8.
+
+    Null and empty texts hold nothing and stay, as do rows with a null id whose text is clean.  Without items, or for an empty table, ``docs`` comes back.
+    """
     return containment.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=5, threshold=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of weights 1, 2, 3 takes them."""
+    """Documents as often as the mix of weights 1, 2, 3 takes them, null ids too.
+
+    Texts without words are in no mix.  Null sources are one source, the last.  An empty table gives none.
+    """
     return mixing.mixed(docs, weights=(1, 2, 3), null_ids=True)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document of the mix."""
+    """The shard and slot of every document of the mix; repeated rows, null ids and null texts have theirs.  An empty table gives none."""
     return sharding.sharded(docs, shards=24)
 
 
