@@ -32,6 +32,7 @@ def daily_utilization(rows: DataFrame) -> DataFrame:
         _hours(PRODUCTIVE_MODES).alias("productive_hours"),
         _hours(DOWN_MODES).alias("downtime_hours"),
         F.sum("energy_kwh").alias("energy_kwh"),
+        F.avg("power_kw").alias("avg_power_kw"),
         F.max("power_kw").alias("peak_power_kw"),
         F.count_distinct("operating_mode").alias("modes_seen"),
         F.count("*").alias("readings"),
@@ -55,7 +56,7 @@ def daily_environment(rows: DataFrame) -> DataFrame:
 
 
 def fault_statistics(events: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """Per asset: events by type, mean time between faults, a health score and its risk band."""
+    """Per asset: events by type, days with any, faults a day, mean time between faults, a health score and its risk band."""
     kind = lambda k: F.count_if(F.col("event_type") == k)
     fault = F.when(F.col("event_type") == "Fault", F.col("timestamp"))
     rows = events.groupBy("asset_id").agg(
@@ -67,21 +68,22 @@ def fault_statistics(events: DataFrame, assets: DataFrame | None = None) -> Data
         F.count_if(F.col("severity") == "High").alias("high_severity_events"),
         F.min(fault).alias("first_fault_at"),
         F.max(fault).alias("last_fault_at"),
+        F.count_distinct(F.to_date("timestamp")).alias("days_with_events"),
         F.greatest(F.datediff(F.max("timestamp"), F.min("timestamp")), F.lit(1)).alias("observed_days"),
     )
     span = elapsed(F.col("first_fault_at"), F.col("last_fault_at"))
     health = F.greatest(F.lit(0.0), F.round(100 - (5.0 * F.col("faults") + F.col("alarms") + 0.25 * F.col("warnings")), 2))
-    rows = rows.withColumns({"mtbf_hours": F.when(F.col("faults") > 1, F.round(span / 3600 / (F.col("faults") - 1), 2)), "health_score": health})
+    rows = rows.withColumns({"mtbf_hours": F.when(F.col("faults") > 1, F.round(span / 3600 / (F.col("faults") - 1), 2)), "faults_per_day": F.round(F.col("faults") / F.col("observed_days"), 3), "health_score": health})
     rows = rows.withColumn("risk_band", graded(F.col("health_score"), (80, "Low"), (50, "Medium"), otherwise="High"))
     return rows if assets is None else rows.join(assets.select("asset_id", "asset_name", "asset_type", "site_id", "building_id"), "asset_id", "left")
 
 
 def daily_event_counts(events: DataFrame) -> DataFrame:
     kind = lambda k: F.count_if(F.col("event_type") == k)
-    return events.groupBy("asset_id", F.to_date("timestamp").alias("event_date")).agg(F.count("*").alias("events"), kind("Fault").alias("faults"), kind("Alarm").alias("alarms"), kind("Warning").alias("warnings"))
+    return events.groupBy("asset_id", F.to_date("timestamp").alias("event_date")).agg(F.count("*").alias("events"), kind("Fault").alias("faults"), kind("Alarm").alias("alarms"), kind("Warning").alias("warnings"), F.count_if(F.col("severity") == "High").alias("high_severity_events"))
 
 
-COUNTS = ("events", "faults", "alarms", "warnings")
+COUNTS = ("events", "faults", "alarms", "warnings", "high_severity_events")
 
 
 def asset_daily(utilization: DataFrame, environment: DataFrame, events: DataFrame) -> DataFrame:
@@ -100,17 +102,18 @@ def building_daily(daily: DataFrame, buildings: DataFrame) -> DataFrame:
         F.max("peak_power_kw").alias("peak_power_kw"),
         *(F.sum(c).alias(c) for c in COUNTS),
     )
-    rows = rows.join(buildings.select("building_id", "building_name", "floor_area_sqm"), "building_id", "left")
+    rows = rows.join(buildings.select("building_id", "building_name", "building_type", "floor_area_sqm"), "building_id", "left")
     return rows.withColumn("energy_per_sqm", F.when(F.col("floor_area_sqm") > 0, F.col("energy_kwh") / F.col("floor_area_sqm")))
 
 
 def site_daily(buildings: DataFrame, sites: DataFrame, baseline_days: int = 7, limit: float = 2.0) -> DataFrame:
     """A site's day over its buildings, with a baseline of the calendar days before and an anomaly flag."""
     rows = buildings.groupBy("site_id", "event_date").agg(
+        F.count_distinct("building_id").alias("buildings"),
         F.sum("reporting_assets").alias("reporting_assets"),
         F.sum("energy_kwh").alias("energy_kwh"),
         F.max("peak_power_kw").alias("peak_power_kw"),
-        *(F.avg(c).alias(c) for c in ("utilization_pct", "availability_pct", "data_coverage_pct")),
+        *(F.avg(c).alias(c) for c in ("utilization_pct", "availability_pct", "data_coverage_pct", "avg_temperature")),
         *(F.sum(c).alias(c) for c in COUNTS),
     )
     before = Window.partitionBy("site_id").orderBy(F.unix_date("event_date")).rangeBetween(-baseline_days, -1)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from ..config import OPERATING_MODES, RANGES
 
+_AMBIENT = ("temperature", "humidity", "pressure", "vibration")
+
 _PARTS = {
     "site": "SELECT 'SITE-' || r_regionkey AS site_id, r_name AS site_name, r_name || ' City' AS city, r_name AS country FROM region",
     "building": "SELECT 'BLD-' || n_nationkey AS building_id, n_name AS building_name, 'SITE-' || n_regionkey AS site_id, CAST(2500 + 900 * n_nationkey AS DOUBLE) AS floor_area_sqm, CASE n_nationkey % 3 WHEN 0 THEN 'Office' WHEN 1 THEN 'Hospital' ELSE 'Plant' END AS building_type FROM nation",
@@ -50,35 +52,31 @@ _PARTS = {
     "reading": """
       SELECT *, power_kw * duration_hours AS energy_kwh, CAST(ts AS DATE) AS event_date, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS event_hour FROM (
         SELECT *, least(coalesce((epoch_us(lead(ts) OVER (PARTITION BY asset_id ORDER BY ts)) - epoch_us(ts)) / 1e6, 43200.0), 86400.0) / 3600 AS duration_hours FROM merged)""",
-    "hourly": "SELECT site_id, building_id, asset_id, event_date, event_hour, sum(energy_kwh) AS energy_kwh, avg(power_kw) AS avg_power_kw, max(power_kw) AS peak_power_kw, min(power_kw) AS min_power_kw, count(*) AS readings FROM reading GROUP BY ALL",
+    "hourly": "SELECT site_id, building_id, asset_id, event_date, event_hour, sum(energy_kwh) AS energy_kwh, avg(power_kw) AS avg_power_kw, max(power_kw) AS peak_power_kw, min(power_kw) AS min_power_kw, round(sum(duration_hours), 4) AS coverage_hours, count(*) AS readings FROM reading GROUP BY ALL",
     "utilization": """
       SELECT *, 100 * productive_hours / nullif(observed_hours, 0) AS utilization_pct, (1 - downtime_hours / nullif(observed_hours, 0)) * 100 AS availability_pct, least(observed_hours / 24, 1.0::DOUBLE) * 100 AS data_coverage_pct FROM (
         SELECT site_id, building_id, asset_id, event_date, sum(duration_hours) AS observed_hours, sum(CASE WHEN operating_mode IN ('RUNNING', 'BOOST') THEN duration_hours ELSE 0 END) AS productive_hours,
-               sum(CASE WHEN operating_mode IN ('OFF', 'FAULT', 'MAINTENANCE') THEN duration_hours ELSE 0 END) AS downtime_hours, sum(energy_kwh) AS energy_kwh, max(power_kw) AS peak_power_kw, count(DISTINCT operating_mode) AS modes_seen, count(*) AS readings
-        FROM reading GROUP BY ALL)""",
-    "environment": """
-      SELECT *, coalesce(avg_temperature BETWEEN 18 AND 27 AND avg_humidity BETWEEN 30 AND 65, FALSE) AS thermal_comfort_ok FROM (
-        SELECT asset_id, event_date, avg(temperature) AS avg_temperature, max(temperature) AS max_temperature, stddev_samp(vibration) AS stddev_vibration, quantile_disc(vibration, 0.95) AS p95_vibration,
-               quantile_disc(humidity, 0.95) AS p95_humidity, avg(humidity) AS avg_humidity, min(pressure) AS min_pressure
+               sum(CASE WHEN operating_mode IN ('OFF', 'FAULT', 'MAINTENANCE') THEN duration_hours ELSE 0 END) AS downtime_hours, sum(energy_kwh) AS energy_kwh, avg(power_kw) AS avg_power_kw, max(power_kw) AS peak_power_kw, count(DISTINCT operating_mode) AS modes_seen, count(*) AS readings
         FROM reading GROUP BY ALL)""",
-    "event_count": "SELECT asset_id, CAST(ts AS DATE) AS event_date, count(*) AS events, count(*) FILTER (event_type = 'Fault') AS faults, count(*) FILTER (event_type = 'Alarm') AS alarms, count(*) FILTER (event_type = 'Warning') AS warnings FROM event GROUP BY ALL",
-    "asset_daily": "SELECT u.*, e.avg_temperature, e.avg_humidity, e.thermal_comfort_ok, coalesce(c.events, 0) AS events, coalesce(c.faults, 0) AS faults, coalesce(c.alarms, 0) AS alarms, coalesce(c.warnings, 0) AS warnings FROM utilization u LEFT JOIN environment e USING (asset_id, event_date) LEFT JOIN event_count c USING (asset_id, event_date)",
+    "environment": "SELECT *, coalesce(avg_temperature BETWEEN 18 AND 27 AND avg_humidity BETWEEN 30 AND 65, FALSE) AS thermal_comfort_ok FROM (SELECT asset_id, event_date, " + ", ".join(f"avg({m}) AS avg_{m}, min({m}) AS min_{m}, max({m}) AS max_{m}, stddev_samp({m}) AS stddev_{m}, quantile_disc({m}, 0.95) AS p95_{m}" for m in _AMBIENT) + " FROM reading GROUP BY ALL)",
+    "event_count": "SELECT asset_id, CAST(ts AS DATE) AS event_date, count(*) AS events, count(*) FILTER (event_type = 'Fault') AS faults, count(*) FILTER (event_type = 'Alarm') AS alarms, count(*) FILTER (event_type = 'Warning') AS warnings, count(*) FILTER (severity = 'High') AS high_severity_events FROM event GROUP BY ALL",
+    "asset_daily": "SELECT u.*, e.avg_temperature, e.avg_humidity, e.thermal_comfort_ok, coalesce(c.events, 0) AS events, coalesce(c.faults, 0) AS faults, coalesce(c.alarms, 0) AS alarms, coalesce(c.warnings, 0) AS warnings, coalesce(c.high_severity_events, 0) AS high_severity_events FROM utilization u LEFT JOIN environment e USING (asset_id, event_date) LEFT JOIN event_count c USING (asset_id, event_date)",
     "building_daily": """
-      SELECT d.*, b.building_name, CASE WHEN b.floor_area_sqm > 0 THEN d.energy_kwh / b.floor_area_sqm END AS energy_per_sqm FROM (
+      SELECT d.*, b.building_name, b.building_type, CASE WHEN b.floor_area_sqm > 0 THEN d.energy_kwh / b.floor_area_sqm END AS energy_per_sqm FROM (
         SELECT site_id, building_id, event_date, count(DISTINCT asset_id) AS reporting_assets, sum(energy_kwh) AS energy_kwh, avg(utilization_pct) AS utilization_pct, avg(availability_pct) AS availability_pct,
                avg(data_coverage_pct) AS data_coverage_pct, avg(avg_temperature) AS avg_temperature, max(peak_power_kw) AS peak_power_kw,
-               sum(events)::BIGINT AS events, sum(faults)::BIGINT AS faults, sum(alarms)::BIGINT AS alarms, sum(warnings)::BIGINT AS warnings
+               sum(events)::BIGINT AS events, sum(faults)::BIGINT AS faults, sum(alarms)::BIGINT AS alarms, sum(warnings)::BIGINT AS warnings, sum(high_severity_events)::BIGINT AS high_severity_events
         FROM asset_daily GROUP BY ALL) d LEFT JOIN building b USING (building_id)""",
-    "site_sum": "SELECT site_id, event_date, sum(reporting_assets)::BIGINT AS reporting_assets, sum(energy_kwh) AS energy_kwh, max(peak_power_kw) AS peak_power_kw, avg(data_coverage_pct) AS data_coverage_pct, sum(events)::BIGINT AS events, sum(faults)::BIGINT AS faults, sum(alarms)::BIGINT AS alarms, sum(warnings)::BIGINT AS warnings FROM building_daily GROUP BY ALL",
+    "site_sum": "SELECT site_id, event_date, count(DISTINCT building_id) AS buildings, avg(avg_temperature) AS avg_temperature, sum(reporting_assets)::BIGINT AS reporting_assets, sum(energy_kwh) AS energy_kwh, max(peak_power_kw) AS peak_power_kw, avg(data_coverage_pct) AS data_coverage_pct, sum(events)::BIGINT AS events, sum(faults)::BIGINT AS faults, sum(alarms)::BIGINT AS alarms, sum(warnings)::BIGINT AS warnings, sum(high_severity_events)::BIGINT AS high_severity_events FROM building_daily GROUP BY ALL",
     "site_daily": """
       SELECT s.*, site_name, city, country, CASE WHEN baseline_stddev > 0 THEN (energy_kwh - baseline_kwh) / baseline_stddev END AS energy_zscore, CASE WHEN baseline_kwh > 0 THEN (energy_kwh - baseline_kwh) / baseline_kwh * 100 END AS pct_vs_baseline FROM (
         SELECT *, avg(energy_kwh) OVER w AS baseline_kwh, stddev_samp(energy_kwh) OVER w AS baseline_stddev FROM site_sum
         WINDOW w AS (PARTITION BY site_id ORDER BY event_date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)) s LEFT JOIN site USING (site_id)""",
     "fault": """
-      SELECT *, CASE WHEN faults > 1 THEN round((epoch_us(last_fault_at) - epoch_us(first_fault_at)) / 1e6 / 3600 / (faults - 1), 2) END AS mtbf_hours, CASE WHEN health_score >= 80 THEN 'Low' WHEN health_score >= 50 THEN 'Medium' ELSE 'High' END AS risk_band FROM (
+      SELECT *, round(faults / observed_days, 3) AS faults_per_day, CASE WHEN faults > 1 THEN round((epoch_us(last_fault_at) - epoch_us(first_fault_at)) / 1e6 / 3600 / (faults - 1), 2) END AS mtbf_hours, CASE WHEN health_score >= 80 THEN 'Low' WHEN health_score >= 50 THEN 'Medium' ELSE 'High' END AS risk_band FROM (
         SELECT *, greatest(0.0::DOUBLE, round(100 - (5.0::DOUBLE * faults + alarms + 0.25::DOUBLE * warnings), 2)) AS health_score FROM (
           SELECT asset_id, count(*) AS total_events, count(*) FILTER (event_type = 'Fault') AS faults, count(*) FILTER (event_type = 'Alarm') AS alarms, count(*) FILTER (event_type = 'Warning') AS warnings, count(*) FILTER (event_type = 'Info') AS infos,
-                 count(*) FILTER (severity = 'High') AS high_severity_events, min(ts) FILTER (event_type = 'Fault') AS first_fault_at, max(ts) FILTER (event_type = 'Fault') AS last_fault_at, CAST(greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)), 1) AS INTEGER) AS observed_days
+                 count(*) FILTER (severity = 'High') AS high_severity_events, min(ts) FILTER (event_type = 'Fault') AS first_fault_at, max(ts) FILTER (event_type = 'Fault') AS last_fault_at, count(DISTINCT CAST(ts AS DATE)) AS days_with_events, CAST(greatest(date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)), 1) AS INTEGER) AS observed_days
           FROM event GROUP BY asset_id))""",
     "walk": """
       SELECT asset_id AS ancestor_id, asset_id AS descendant_id, 0 AS depth, asset_id AS path FROM asset
@@ -151,7 +149,7 @@ _STREAM_CLEAN = f"SELECT DISTINCT site_id, building_id, asset_id, sensor_id, ts,
 _HOURS = "(epoch_us(anchor) - epoch_us(last_at)) / 3.6e9"
 _ROUND5 = lambda *names: ", ".join(f"round({n}, 5) AS {n}" for n in names)
 _ROUND4 = lambda *names: ", ".join(f"round({n}, 4) AS {n}" for n in names)
-_COUNTS = "events, faults, alarms, warnings"
+_COUNTS = "events, faults, alarms, warnings, high_severity_events"
 
 _SELECTS = {
     "cast_telemetry": "SELECT landing_no, ts AS timestamp, site_id, building_id, asset_id, sensor_id, temperature, humidity, pressure, vibration, power_consumption, operating_mode, known AS _asset_known, lateness AS _lateness_seconds, coalesce(lateness >= 86400, FALSE) AS _is_late, CAST(dup_rank AS INTEGER) AS _dup_rank FROM prepared",
@@ -174,7 +172,7 @@ _SELECTS = {
     "freshness": "SELECT asset_id, max(ts) AS last_reading_at, count(*) AS readings, round((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 60e6, 5) AS lag_minutes, (epoch_us(TIMESTAMP '2024-01-31') - epoch_us(max(ts))) / 60e6 > 1440 AS is_stale FROM telemetry GROUP BY asset_id",
     "completeness": "SELECT asset_id, sensor_id, CAST(ts AS DATE) AS event_date, count(*) AS received, 2::BIGINT AS expected, greatest(2 - count(*), 0) AS missing, least(count(*) / 2, 1.0) * 100 AS completeness_pct FROM telemetry GROUP BY 1, 2, 3",
     "readings_weighted": f"SELECT site_id, building_id, asset_id, ts AS timestamp, operating_mode, sensor_readings, {_ROUND5('temperature', 'power_kw', 'duration_hours', 'energy_kwh')}, event_date FROM reading",
-    "fact_energy_hourly": f"SELECT site_id, building_id, asset_id, event_date, event_hour, {_ROUND5('energy_kwh', 'avg_power_kw', 'peak_power_kw', 'min_power_kw')}, readings FROM hourly",
+    "fact_energy_hourly": f"SELECT site_id, building_id, asset_id, event_date, event_hour, {_ROUND5('energy_kwh', 'avg_power_kw', 'peak_power_kw', 'min_power_kw')}, coverage_hours, readings FROM hourly",
     "dim_date": """
       SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_key, d AS full_date, CAST(year(d) AS INTEGER) AS year, CAST(quarter(d) AS INTEGER) AS quarter, CAST(month(d) AS INTEGER) AS month, monthname(d) AS month_name, CAST(weekofyear(d) AS INTEGER) AS iso_week,
              CAST(day(d) AS INTEGER) AS day_of_month, CAST(dayofweek(d) + 1 AS INTEGER) AS day_of_week, dayname(d) AS day_name, dayofweek(d) IN (0, 6) AS is_weekend,
@@ -184,20 +182,21 @@ _SELECTS = {
     "dim_site": "SELECT * FROM site",
     "dim_building": "SELECT b.*, s.site_name, s.city, s.country, CASE WHEN floor_area_sqm < 5000 THEN 'Small' WHEN floor_area_sqm < 15000 THEN 'Medium' ELSE 'Large' END AS size_band FROM building b LEFT JOIN site s USING (site_id)",
     "scd2_dim_asset": """
-      SELECT asset_id, building_id, valid_from, valid_to, valid_to IS NULL AS is_current FROM (
-        SELECT asset_id, building_id, TIMESTAMP '2024-01-01' AS valid_from, CASE WHEN no % 10 = 0 THEN TIMESTAMP '2024-02-01' END AS valid_to FROM (SELECT *, CAST(substr(asset_id, 5) AS BIGINT) AS no FROM asset) WHERE no % 20 <> 7
-        UNION ALL SELECT asset_id, CASE WHEN no % 10 = 0 THEN building_id || '-B' ELSE building_id END, TIMESTAMP '2024-02-01', NULL FROM (SELECT *, CAST(substr(asset_id, 5) AS BIGINT) AS no FROM asset) WHERE no % 20 = 7 OR no % 10 = 0)""",
-    "fact_telemetry": "SELECT site_id, building_id, asset_id, sensor_id, ts AS timestamp, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS time_key, power_consumption, vibration, operating_mode, ingest_date > CAST(ts AS DATE) AS is_late, CAST(ts AS DATE) AS event_date, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS event_hour FROM telemetry",
+      SELECT asset_id, building_id, round(date_diff('day', installation_date, CAST(valid_from AS DATE)) / 365.25, 2) AS age_years, TRUE AS keyed, 1::BIGINT AS same_content, valid_from, valid_to, valid_to IS NULL AS is_current FROM (
+        SELECT asset_id, installation_date, building_id, TIMESTAMP '2024-01-01' AS valid_from, CASE WHEN no % 10 = 0 THEN TIMESTAMP '2024-02-01' END AS valid_to FROM (SELECT *, CAST(substr(asset_id, 5) AS BIGINT) AS no FROM asset) WHERE no % 20 <> 7
+        UNION ALL SELECT asset_id, installation_date, CASE WHEN no % 10 = 0 THEN building_id || '-B' ELSE building_id END, TIMESTAMP '2024-02-01', NULL FROM (SELECT *, CAST(substr(asset_id, 5) AS BIGINT) AS no FROM asset) WHERE no % 20 = 7 OR no % 10 = 0)""",
+    "fact_telemetry": "SELECT site_id, building_id, asset_id, sensor_id, ts AS timestamp, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS date_key, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS time_key, temperature, humidity, pressure, vibration, power_consumption, operating_mode, ingest_date > CAST(ts AS DATE) AS is_late, CAST(ts AS DATE) AS event_date, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS event_hour FROM telemetry",
     "fact_event": "SELECT event_id, asset_id, site_id, building_id, ts AS timestamp, event_type, severity, message, event_type = 'Fault' AS is_fault, CASE severity WHEN 'High' THEN 3 WHEN 'Medium' THEN 2 ELSE 1 END AS severity_rank, CAST(ts AS DATE) AS event_date FROM event",
     "hourly_energy_mart": """
-      SELECT asset_id, event_hour, round(energy_kwh, 5) AS energy_kwh, round(lag(energy_kwh, 24) OVER (PARTITION BY asset_id ORDER BY event_hour), 5) AS prev_day_kwh,
-             round(avg(energy_kwh) OVER (PARTITION BY asset_id ORDER BY event_hour RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING), 5) AS rolling_24h_avg_kwh FROM hourly""",
-    "daily_utilization": f"SELECT site_id, building_id, asset_id, event_date, {_ROUND5('observed_hours', 'productive_hours', 'downtime_hours', 'energy_kwh', 'peak_power_kw')}, modes_seen, readings FROM utilization",
-    "daily_environment": f"SELECT asset_id, event_date, {_ROUND5('avg_temperature', 'max_temperature', 'stddev_vibration', 'p95_vibration', 'p95_humidity', 'avg_humidity', 'min_pressure')}, thermal_comfort_ok FROM environment",
+      SELECT * EXCLUDE (kwh, day), round(kwh, 5) AS energy_kwh, round(day, 5) AS prev_day_kwh, CASE WHEN day > 0 THEN round((kwh - day) / day * 100, 2) END AS dod_change_pct FROM (
+      SELECT asset_id, event_hour, energy_kwh AS kwh, lag(energy_kwh, 24) OVER (PARTITION BY asset_id ORDER BY event_hour) AS day,
+             round(avg(energy_kwh) OVER (PARTITION BY asset_id ORDER BY event_hour RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 HOUR PRECEDING), 5) AS rolling_24h_avg_kwh FROM hourly)""",
+    "daily_utilization": f"SELECT site_id, building_id, asset_id, event_date, {_ROUND5('observed_hours', 'productive_hours', 'downtime_hours', 'energy_kwh', 'avg_power_kw', 'peak_power_kw', 'utilization_pct', 'availability_pct', 'data_coverage_pct')}, modes_seen, readings FROM utilization",
+    "daily_environment": f"SELECT asset_id, event_date, {_ROUND5(*(f'{k}_{m}' for m in _AMBIENT for k in ('avg', 'min', 'max', 'stddev', 'p95')))}, thermal_comfort_ok FROM environment",
     "fault_statistics": "SELECT * FROM fault",
     "agg_asset_daily": f"SELECT asset_id, event_date, {_ROUND5('energy_kwh', 'peak_power_kw', 'utilization_pct')}, thermal_comfort_ok, {_COUNTS} FROM asset_daily",
-    "agg_building_daily": f"SELECT site_id, building_id, building_name, event_date, reporting_assets, {_ROUND5('energy_kwh', 'utilization_pct', 'availability_pct', 'avg_temperature', 'peak_power_kw', 'energy_per_sqm')}, {_COUNTS} FROM building_daily",
-    "agg_site_daily": f"SELECT site_id, site_name, event_date, reporting_assets, {_ROUND4('energy_kwh', 'peak_power_kw', 'baseline_kwh', 'energy_zscore', 'pct_vs_baseline')}, coalesce(energy_zscore > 2, FALSE) AS is_energy_anomaly, {_COUNTS} FROM site_daily",
+    "agg_building_daily": f"SELECT site_id, building_id, building_name, building_type, event_date, reporting_assets, {_ROUND5('energy_kwh', 'utilization_pct', 'availability_pct', 'avg_temperature', 'peak_power_kw', 'energy_per_sqm')}, {_COUNTS} FROM building_daily",
+    "agg_site_daily": f"SELECT site_id, site_name, event_date, buildings, reporting_assets, {_ROUND4('energy_kwh', 'avg_temperature', 'peak_power_kw', 'baseline_kwh', 'energy_zscore', 'pct_vs_baseline')}, coalesce(energy_zscore > 2, FALSE) AS is_energy_anomaly, {_COUNTS} FROM site_daily",
     "machine_health": """
       SELECT s.asset_id, s.asset_type, s.site_id, s.readings, round(s.t, 5) AS avg_temperature, round(s.v, 5) AS avg_vibration, round(s.v / nullif(n.v, 0), 5) AS vibration_vs_normal, round(s.t - n.t, 5) AS temperature_above_normal,
              CASE WHEN s.v > 2 * n.v THEN 'UNHEALTHY' WHEN s.v > 1.4 * n.v THEN 'WATCH' ELSE 'OK' END AS health
@@ -269,7 +268,7 @@ _SELECTS = {
     "upsert_merge": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS o_year FROM orders UNION ALL SELECT -o_orderkey, o_orderstatus, o_totalprice, CAST(year(o_orderdate) AS INTEGER) FROM orders WHERE o_orderkey % 100 = 1",
     "partition_overwrite": "SELECT CAST(ts AS DATE) AS event_date, count(*) AS n, round(sum(power_consumption) * CASE WHEN CAST(ts AS DATE) = DATE '2024-01-10' THEN 2 ELSE 1 END, 4) AS power FROM telemetry GROUP BY CAST(ts AS DATE)",
     "restate_late": "SELECT event_date, round(sum(energy_kwh), 4) AS energy_kwh, count(*) AS assets FROM utilization WHERE event_date IN (SELECT CAST(ts AS DATE) FROM telemetry WHERE ingest_date > CAST(ts AS DATE)) GROUP BY event_date",
-    "compaction": "SELECT asset_id, count(*) AS n FROM event GROUP BY asset_id",
+    "compaction": "SELECT asset_id, count(*) AS n, count(DISTINCT event_id) AS ids, min(ts) AS first_at, max(ts) AS last_at, count(*) FILTER (severity = 'High') AS high FROM event GROUP BY asset_id",
     "snapshot_time_travel": "SELECT *, 2 AS newest FROM site",
     "stream_clean": f"SELECT asset_id, sensor_id, ts AS timestamp, temperature, operating_mode FROM ({_STREAM_CLEAN})",
     "stream_quarantine": f"SELECT landing_no, {_failed('BLOCKING', _STREAM)} AS reasons FROM prepared WHERE {_PLAIN} AND {_failed('BLOCKING', _STREAM)} <> ''",

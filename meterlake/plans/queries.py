@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, marts, model, quality
+from ..schemas import MEASURES
 from ..sources import tables
 from ..sources.scratch import scratch_path
 from . import analytics
@@ -143,7 +144,7 @@ def readings_weighted(e: Estate) -> DataFrame:
 
 @_registered
 def fact_energy_hourly(e: Estate) -> DataFrame:
-    return e.hourly.select("site_id", "building_id", "asset_id", "event_date", *_plain("event_hour"), *_rounded("energy_kwh", "avg_power_kw", "peak_power_kw", "min_power_kw"), "readings")
+    return e.hourly.select("site_id", "building_id", "asset_id", "event_date", *_plain("event_hour"), *_rounded("energy_kwh", "avg_power_kw", "peak_power_kw", "min_power_kw"), "coverage_hours", "readings")
 
 
 @_registered
@@ -174,7 +175,8 @@ def scd2_dim_asset(e: Estate) -> DataFrame:
     second = e.assets.withColumn("building_id", F.when(moves, F.concat("building_id", F.lit("-B"))).otherwise(F.col("building_id")))
     before, after = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-02-01").cast("timestamp")
     merged = model.merge_versions(model.asset_versions(first, before), second, after)
-    return merged.select("asset_id", "building_id", *_plain("valid_from", "valid_to"), "is_current")
+    keyed = F.col("asset_key") == F.xxhash64(F.concat_ws("|", "asset_id", "scd_hash"))
+    return merged.select("asset_id", "building_id", "age_years", keyed.alias("keyed"), F.count("*").over(Window.partitionBy("asset_id", "scd_hash")).alias("same_content"), *_plain("valid_from", "valid_to"), "is_current")
 
 
 @_registered
@@ -182,7 +184,7 @@ def fact_telemetry(e: Estate) -> DataFrame:
     from ..operators.conform import with_lateness
 
     rows = model.fact_telemetry(with_lateness(e.telemetry)).drop("asset_hash")
-    return rows.select("site_id", "building_id", "asset_id", "sensor_id", *_plain("timestamp"), "date_key", "time_key", "power_consumption", "vibration", "operating_mode", "is_late", "event_date", *_plain("event_hour"))
+    return rows.select("site_id", "building_id", "asset_id", "sensor_id", *_plain("timestamp"), "date_key", "time_key", *MEASURES, "operating_mode", "is_late", "event_date", *_plain("event_hour"))
 
 
 @_registered
@@ -195,22 +197,22 @@ def fact_event(e: Estate) -> DataFrame:
 
 @_registered
 def hourly_energy_mart(e: Estate) -> DataFrame:
-    return marts.hourly_energy(e.hourly).select("asset_id", *_plain("event_hour"), *_rounded("energy_kwh", "prev_day_kwh", "rolling_24h_avg_kwh"))
+    return marts.hourly_energy(e.hourly).select("asset_id", *_plain("event_hour"), *_rounded("energy_kwh", "prev_day_kwh", "rolling_24h_avg_kwh"), "dod_change_pct")
 
 
 @_registered
 def daily_utilization(e: Estate) -> DataFrame:
-    return e.utilization.select("site_id", "building_id", "asset_id", "event_date", *_rounded("observed_hours", "productive_hours", "downtime_hours", "energy_kwh", "peak_power_kw"), "modes_seen", "readings")
+    return e.utilization.select("site_id", "building_id", "asset_id", "event_date", *_rounded("observed_hours", "productive_hours", "downtime_hours", "energy_kwh", "avg_power_kw", "peak_power_kw", "utilization_pct", "availability_pct", "data_coverage_pct"), "modes_seen", "readings")
 
 
 @_registered
 def daily_environment(e: Estate) -> DataFrame:
-    return e.environment.select("asset_id", "event_date", *_rounded("avg_temperature", "max_temperature", "stddev_vibration", "p95_vibration", "p95_humidity", "avg_humidity", "min_pressure"), "thermal_comfort_ok")
+    return e.environment.select("asset_id", "event_date", *_rounded(*(f"{k}_{m}" for m in ("temperature", "humidity", "pressure", "vibration") for k in ("avg", "min", "max", "stddev", "p95"))), "thermal_comfort_ok")
 
 
 @_registered
 def fault_statistics(e: Estate) -> DataFrame:
-    return e.faults.select("asset_id", "total_events", "faults", "alarms", "warnings", "infos", "high_severity_events", *_plain("first_fault_at", "last_fault_at"), "observed_days", "mtbf_hours", "health_score", "risk_band")
+    return e.faults.select("asset_id", "total_events", "faults", "alarms", "warnings", "infos", "high_severity_events", *_plain("first_fault_at", "last_fault_at"), "days_with_events", "observed_days", "mtbf_hours", "faults_per_day", "health_score", "risk_band")
 
 
 @_registered
@@ -220,12 +222,12 @@ def agg_asset_daily(e: Estate) -> DataFrame:
 
 @_registered
 def agg_building_daily(e: Estate) -> DataFrame:
-    return e.building_daily.select("site_id", "building_id", "building_name", "event_date", "reporting_assets", *_rounded("energy_kwh", "utilization_pct", "availability_pct", "avg_temperature", "peak_power_kw", "energy_per_sqm"), *marts.COUNTS)
+    return e.building_daily.select("site_id", "building_id", "building_name", "building_type", "event_date", "reporting_assets", *_rounded("energy_kwh", "utilization_pct", "availability_pct", "avg_temperature", "peak_power_kw", "energy_per_sqm"), *marts.COUNTS)
 
 
 @_registered
 def agg_site_daily(e: Estate) -> DataFrame:
-    return e.site_daily.select("site_id", "site_name", "event_date", "reporting_assets", *_rounded("energy_kwh", "peak_power_kw", "baseline_kwh", "energy_zscore", "pct_vs_baseline", digits=4), "is_energy_anomaly", *marts.COUNTS)
+    return e.site_daily.select("site_id", "site_name", "event_date", "buildings", "reporting_assets", *_rounded("energy_kwh", "avg_temperature", "peak_power_kw", "baseline_kwh", "energy_zscore", "pct_vs_baseline", digits=4), "is_energy_anomaly", *marts.COUNTS)
 
 
 @_registered
@@ -403,7 +405,7 @@ def compaction(e: Estate) -> DataFrame:
     path = scratch_path(e.spark, "events")
     tables.write(e.events.repartition(16), path)
     tables.compact(e.spark, path, cluster_by=["asset_id", "timestamp"], files=2)
-    return tables.read(e.spark, path).groupBy("asset_id").agg(F.count("*").alias("n"))
+    return tables.read(e.spark, path).groupBy("asset_id").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.min("timestamp").cast("timestamp_ntz").alias("first_at"), F.max("timestamp").cast("timestamp_ntz").alias("last_at"), F.count_if(F.col("severity") == "High").alias("high"))
 
 
 @_registered
