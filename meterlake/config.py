@@ -49,6 +49,7 @@ class Settings:
     fail_on_breach: bool = True
     retain_hours: int = 168
     quarantine_days: int = 30
+    compact_files: int = 64
     thresholds: tuple[tuple[str, float], ...] = (("completeness", 0.05), ("uniqueness", 0.05), ("validity", 0.02), ("enum", 0.01), ("accuracy", 0.02), ("consistency", 0.02), ("site", 0.005), ("timeliness", 0.05))
 
     def threshold(self, name: str) -> float:

@@ -16,15 +16,26 @@ from pyspark.sql import functions as F
 LISTED = 25
 
 
-def quality_metrics(results: DataFrame, freshness: DataFrame | None = None, completeness: DataFrame | None = None, batch_id: str = "latest") -> dict:
+def of_batch(results: DataFrame, batch_id: str | None = None) -> DataFrame:
+    """A batch's rule results; those of the latest batch, if it has none or none is named."""
+    own = results.where(F.col("batch_id") == batch_id)
+    if batch_id is not None and not own.isEmpty():
+        return own
+    latest = results.agg(F.max_by("batch_id", F.struct("evaluated_at", "batch_id"))).first()[0]
+    return results.where(F.col("batch_id") == latest)
+
+
+def quality_metrics(results: DataFrame, freshness: DataFrame | None = None, completeness: DataFrame | None = None, batch_id: str = "latest", quarantined: Mapping[str, Mapping[str, int]] | None = None) -> dict:
     """What a quality report says: rules, dimensions, breaches, the stalest and least complete assets, and a verdict."""
     rules = [r.asDict() for r in results.orderBy("rule_id").collect()]
     dimensions: dict[str, dict[str, int]] = {}
+    by_table: dict[str, dict[str, int]] = {}
     for r in rules:
-        d = dimensions.setdefault(r["dimension"], {"rules": 0, "failed": 0, "breached": 0})
-        d["rules"] += 1
-        d["failed"] += r["failed"]
-        d["breached"] += not r["passed"]
+        for group, key in ((dimensions, r["dimension"]), (by_table, r.get("table_name") or "all")):
+            d = group.setdefault(key, {"rules": 0, "failed": 0, "breached": 0})
+            d["rules"] += 1
+            d["failed"] += r["failed"]
+            d["breached"] += not r["passed"]
     breached = [r for r in rules if not r["passed"]]
     verdict = "FAIL" if any(r["severity"] == "BLOCKING" for r in breached) else "WARN" if breached else "PASS"
     top = lambda df, order: [r.asDict() for r in df.orderBy(*order).limit(LISTED).collect()] if df is not None else []
@@ -34,6 +45,8 @@ def quality_metrics(results: DataFrame, freshness: DataFrame | None = None, comp
         "evaluated": max((r["evaluated"] for r in rules), default=0),
         "rules": rules,
         "by_dimension": dimensions,
+        "by_table": by_table,
+        "quarantined": {n: dict(reasons) for n, reasons in (quarantined or {}).items()},
         "stale": top(freshness.where("is_stale") if freshness is not None else None, (F.desc("lag_minutes"), "asset_id")),
         "incomplete": top(completeness.where("missing > 0") if completeness is not None else None, ("completeness_pct", "asset_id", "event_date")),
     }

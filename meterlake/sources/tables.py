@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import scratch_path
@@ -22,7 +22,7 @@ def _fs(spark: SparkSession, path: str):
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a table has been written there."""
     fs, target = _fs(spark, path)
-    return fs.exists(target) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(target))
+    return fs.exists(target) and any("=" in n or not n.startswith(("_", ".")) for n in (s.getPath().getName() for s in fs.listStatus(target)))
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -97,10 +97,15 @@ def upsert(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], p
     drop(spark, staged)
 
 
-def compact(spark: SparkSession, path: str, cluster_by: Sequence[str], files: int, partition_by: Sequence[str] = ()) -> None:
-    """Rewrite a table in fewer files, ranged and sorted, so that their statistics skip data."""
+def compact(spark: SparkSession, path: str, cluster_by: Sequence[str], files: int, partition_by: Sequence[str] = (), where: Column | None = None) -> None:
+    """Rewrite a table in fewer files, ranged and sorted, so that their statistics skip data.
+
+    ``where`` picks whole partitions; the others stay as they are.
+    """
+    if where is not None and not partition_by:
+        raise ValueError("only partitions can be compacted apart")
     staged = scratch_path(spark, "compact")
-    rows = read(spark, path)
+    rows = read(spark, path) if where is None else read(spark, path).where(where)
     rows.repartitionByRange(files, *partition_by, *cluster_by).sortWithinPartitions(*partition_by, *cluster_by).write.parquet(staged)
     write(spark.read.schema(rows.schema).parquet(staged), path, partition_by=partition_by)
     drop(spark, staged)
@@ -127,9 +132,14 @@ def read_version(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.parquet(f"{root}/v{have[-1] if version is None else version}")
 
 
-def vacuum_versions(spark: SparkSession, root: str, keep: int = 1) -> list[int]:
-    """Delete all but the newest versions."""
-    old = versions(spark, root)[: -keep or None]
+def vacuum_versions(spark: SparkSession, root: str, keep: int = 1, unread_since: float | None = None) -> list[int]:
+    """Delete all but the newest versions; with ``unread_since`` (seconds since the epoch), only those superseded before then."""
+    have = versions(spark, root)
+    old = have[: -keep or None]
+    if unread_since is not None:
+        fs, target = _fs(spark, root)
+        written = {int(s.getPath().getName()[1:]): s.getModificationTime() / 1e3 for s in (fs.listStatus(target) if have else []) if s.getPath().getName()[1:].isdigit()}
+        old = [v for v, successor in zip(old, have[1:], strict=False) if written[successor] < unread_since]
     for v in old:
         drop(spark, f"{root}/v{v}")
     return old
@@ -150,3 +160,12 @@ def prune(spark: SparkSession, path: str, partition: str, before: str) -> list[s
             fs.delete(s.getPath(), True)
             gone.append(name.split("=", 1)[1])
     return sorted(gone)
+
+
+def prune_written(spark: SparkSession, path: str, partition: str, before: float) -> list[str]:
+    """Delete partitions of a column that were last written before a time, in seconds since the epoch."""
+    fs, target = _fs(spark, path)
+    old = [s.getPath() for s in (fs.listStatus(target) if fs.exists(target) else []) if s.getPath().getName().startswith(f"{partition}=") and s.getModificationTime() < before * 1e3]
+    for folder in old:
+        fs.delete(folder, True)
+    return sorted(f.getName().split("=", 1)[1] for f in old)

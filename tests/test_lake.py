@@ -41,7 +41,7 @@ def test_batch_finds_what_was_planted(spark, landed, tmp_path):
     assert run.metrics["quality"]["verdict"] in ("PASS", "WARN") and set(run.seconds) == {"bronze", "silver", "gold", "hierarchy", "report"}
     first = lake.read("gold", "agg_site_daily").orderBy("site_id", "event_date").collect()
     versions = lake.read("gold", "dim_asset/v0").count()
-    lake.run()
+    again = lake.run()
     assert lake.read("gold", "agg_site_daily").orderBy("site_id", "event_date").collect() == first
     assert tables.read_version(spark, lake.s.table("gold", "dim_asset")).count() == versions
     assert lake.restate(Run()) == sorted({str(r.event_date) for r in lake.read("silver", "telemetry").where("_is_late").collect()})
@@ -49,6 +49,62 @@ def test_batch_finds_what_was_planted(spark, landed, tmp_path):
     assert len(made) == 4 and json.loads(open(made[0]).read())["batch_id"] == run.batch_id
 
 
+    # a batch's rule results stay, and one that has none reads the latest
+    history = lake.read("quality", "dq_results")
+    assert {r.batch_id for r in history.select("batch_id").distinct().collect()} == {run.batch_id, again.batch_id}
+    assert reporting.of_batch(history, run.batch_id).where(f"batch_id = '{run.batch_id}'").count() == reporting.of_batch(history, "none").where(f"batch_id = '{again.batch_id}'").count() > 0
+    report = run.metrics["quality"]
+    assert set(report["by_table"]) == {"telemetry", "events"} and report["quarantined"]["telemetry"]["tel.consistency.asset_registered"] == manifest["unknown_asset"]
+
+
+GOLD = "fact_telemetry fact_event readings fact_energy_hourly curated_hourly_energy curated_daily_utilization curated_daily_environment agg_asset_daily agg_building_daily agg_site_daily curated_fault_statistics dim_date".split()
+
+
+def contents(lake, layer, names, drop=()):
+    """Tables as sorted rows, numbers to 9 digits."""
+    tidy = lambda v: float(f"{v:.9g}") if isinstance(v, float) else v
+    found = {}
+    for n in names:
+        rows = lake.read(layer, n).drop(*drop)
+        found[n] = sorted((tuple(tidy(r[c]) for c in sorted(rows.columns)) for r in rows.collect()), key=str)
+    return found
+
+
+def test_batches_by_date_give_what_one_batch_gives(spark, landed, tmp_path):
+    path, _, _ = landed
+    made = lambda name: Lake(spark, Settings(root=str(tmp_path / name), sampling_seconds=1800, fail_on_breach=False), path, as_of="2026-06-10T00:00:00Z")
+    whole, parts = made("whole"), made("parts")
+    whole.run(("bronze", "silver", "gold"))
+    days = [str(r.ingest_date) for r in whole.read("bronze", "telemetry").select("ingest_date").distinct().orderBy("ingest_date").collect()]
+    assert len(days) > 3
+    for some in (days[:2], days[2:-1], days[-1:]):
+        parts.run(("bronze", "silver"), some)
+        if some == days[2:-1]:
+            parts.run(("gold",))  # before the last date lands
+    audit = ("_ingested_at", "_batch_id", "_batch")
+    assert contents(parts, "silver", ("telemetry", "events"), audit) == contents(whole, "silver", ("telemetry", "events"), audit)
+    assert whole.read("quarantine", "telemetry").count() == parts.read("quarantine", "telemetry").count()
+    assert whole.read("quarantine", "telemetry_dlq").count() == parts.read("quarantine", "telemetry_dlq").count()
+    # the last landing date holds late records alone: gold is mended by its dates
+    parts.restate(Run())
+    assert contents(parts, "gold", GOLD, audit) == contents(whole, "gold", GOLD, audit)
+
+
+def test_maintenance_of_a_lake(spark, landed, tmp_path):
+    import time
+
+    path, _, _ = landed
+    lake = Lake(spark, Settings(root=str(tmp_path / "lake"), sampling_seconds=1800, compact_files=2, fail_on_breach=False), path, as_of="2026-06-10T00:00:00Z")
+    first = lake.run(("bronze", "silver", "gold"))
+    lake.run(("gold",))
+    before = contents(lake, "gold", GOLD) | contents(lake, "silver", ("telemetry",))
+    done = lake.maintain()
+    assert list(done.seconds) == ["late", "compact", "vacuum", "prune"] and done.metrics["late"] and done.metrics["vacuumed"] == done.metrics["pruned"] == []
+    assert contents(lake, "gold", GOLD) | contents(lake, "silver", ("telemetry",)) == before
+    later = lake.maintain(time.time() + 40 * 86_400)
+    assert later.metrics["vacuumed"] == [0] and first.batch_id in later.metrics["pruned"]
+
+
 def test_stream_agrees_with_the_batch(spark, landed, tmp_path):
     path, generator, manifest = landed
     lines = landing.stream_lines(spark, f"{path}/telemetry/*", files_per_trigger=10_000)
