@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 
 #: Rows that a report lists of stale or incomplete assets, at most.
 LISTED = 25
+#: Rows that an export brings to the driver, at most; larger results are refused, not cut.
+EXPORTED = 100_000
+
+
+def _small(frame: DataFrame, most: int) -> list:
+    rows = frame.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write them with Spark")
+    return rows
 
 
 def of_batch(results: DataFrame, batch_id: str | None = None) -> DataFrame:
@@ -75,13 +84,13 @@ def write_quality_report(metrics: dict, folder: str) -> list[str]:
     return made
 
 
-def export_queries(frames: Mapping[str, DataFrame], folder: str, shown: int = 20) -> dict[str, str]:
-    """Write each result as CSV and all as one Markdown digest; a query that fails is noted and the others go on."""
+def export_queries(frames: Mapping[str, DataFrame], folder: str, shown: int = 20, most: int = EXPORTED) -> dict[str, str]:
+    """Write each result as CSV and all as one Markdown digest; a query that fails, or gives over ``most`` rows, is noted and the others go on."""
     out, digest, state = Path(folder), [], {}
     out.mkdir(parents=True, exist_ok=True)
     for name, frame in frames.items():
         try:
-            rows, columns = frame.collect(), frame.columns
+            rows, columns = _small(frame, most), frame.columns
         except Exception as problem:  # noqa: BLE001 - recorded, not raised
             state[name] = f"failed: {type(problem).__name__}"
             digest.append(f"## {name}\n\n{state[name]}\n")
@@ -119,9 +128,9 @@ CYPHER = {
 }
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
-    """GraphML and Cypher of a topology; for graphs that fit the driver, as drawing tools need them whole."""
+def export_graph(nodes: DataFrame, edges: DataFrame, folder: str, most: int = EXPORTED) -> None:
+    """GraphML and Cypher of a topology; raises if it has over ``most`` nodes or edges, as drawing tools need it whole."""
     out = Path(folder)
     out.mkdir(parents=True, exist_ok=True)
-    (out / "topology.graphml").write_text(graphml((r.asDict() for r in nodes.orderBy("node_id").collect()), (r.asDict() for r in edges.orderBy("source_id", "target_id").collect())), encoding="utf-8")
+    (out / "topology.graphml").write_text(graphml((r.asDict() for r in _small(nodes.orderBy("node_id"), most)), (r.asDict() for r in _small(edges.orderBy("source_id", "target_id"), most))), encoding="utf-8")
     (out / "topology.cypher").write_text("\n".join(CYPHER.values()), encoding="utf-8")

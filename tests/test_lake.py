@@ -173,6 +173,15 @@ def test_settings_and_exports(spark, tmp_path):
     s = Settings().with_environment(environ={"METERLAKE__LATE_SECONDS": "60", "METERLAKE__ROOT": "s3://x", "OTHER": "1"})
     assert (s.late_seconds, s.root, s.table("gold", "t")) == (60, "s3://x", "s3://x/gold/t")
     bad = spark.range(1).select(F.raise_error(F.lit("no")).alias("x"))
-    assert reporting.export_queries({"q": spark.range(3).toDF("n"), "bad": bad}, str(tmp_path)) == {"q": "3 rows", "bad": "failed: SparkRuntimeException"} or (tmp_path / "q.csv").exists()
+    state = reporting.export_queries({"q": spark.range(3).toDF("n"), "bad": bad, "large": spark.range(9).toDF("n")}, str(tmp_path), most=5)
+    assert state["q"] == "3 rows" and state["bad"].startswith("failed: ") and state["large"] == "failed: ValueError"
+    assert (tmp_path / "q.csv").read_text().split() == ["n", "0", "1", "2"] and not (tmp_path / "bad.csv").exists() and not (tmp_path / "large.csv").exists()
+    nodes = spark.createDataFrame([("a", "Site"), ("b&", None)], "node_id string, node_type string")
+    edges = spark.createDataFrame([("a", "b&", "CONTAINS")], "source_id string, target_id string, edge_type string")
+    reporting.export_graph(nodes, edges, str(tmp_path))
+    drawn = (tmp_path / "topology.graphml").read_text()
+    assert drawn.count("<node ") == 2 and drawn.count("<edge ") == 1 and "b&amp;" in drawn and "CREATE CONSTRAINT" in (tmp_path / "topology.cypher").read_text()
+    with pytest.raises(ValueError):
+        reporting.export_graph(nodes, edges, str(tmp_path), most=1)
     rows = spark.createDataFrame([("S1", 1), ("S2", 2)], "site_id string, v int")
     assert landing.visible_to(rows, ["S2"]).count() == 1 and landing.visible_to(rows, None).count() == 2
