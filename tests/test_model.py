@@ -88,7 +88,7 @@ def test_lateness_is_in_whole_days(spark):
 
 
 def test_baseline_leaves_out_the_day_itself(spark):
-    days = [("S", dt.date(2026, 6, 1) + dt.timedelta(days=i), 1, 10.0 + i % 2 if i < 8 else 50.0, 1.0, 1.0, 1.0, 1.0, 0, 0, 0, 0) for i in range(9)]
-    frame = spark.createDataFrame(days, "site_id string, event_date date, reporting_assets int, energy_kwh double, peak_power_kw double, utilization_pct double, availability_pct double, data_coverage_pct double, events int, faults int, alarms int, warnings int")
+    days = [("S", dt.date(2026, 6, 1) + dt.timedelta(days=i), 1, 10.0 + i % 2 if i < 8 else 50.0, 1.0, 1.0, 1.0, 1.0, 0, 0, 0, 0, "B", 21.0, 0) for i in range(9)]
+    frame = spark.createDataFrame(days, "site_id string, event_date date, reporting_assets int, energy_kwh double, peak_power_kw double, utilization_pct double, availability_pct double, data_coverage_pct double, events int, faults int, alarms int, warnings int, building_id string, avg_temperature double, high_severity_events int")
     sites = spark.createDataFrame([("S", "n", "c", "x")], "site_id string, site_name string, city string, country string")
     assert [r.event_date.day for r in marts.site_daily(frame, sites).where("is_energy_anomaly").collect()] == [9]
