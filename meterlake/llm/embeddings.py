@@ -4,16 +4,22 @@ Vectors are normalised in double precision and padded with zeros to a power of
 two.  A hash is the index and sign of the largest coordinate after three fast
 Hadamard transforms with random signs (Andoni et al., 2015); a bucket joins
 ``HASHES`` of them, and there are ``TABLES`` tables.  Each vector is put in its
-own bucket of every table and looks into ``PROBES`` more: those whose loss of
-the largest coordinate is least.  Pairs that meet are verified by their cosine.
+own bucket of every table and looks into ``PROBES`` more (or more still beyond
+``PROBED_WIDTH`` dimensions): those whose loss of the largest coordinate is least.  Pairs that meet are verified by their cosine.
 
 Plan.  Equal vectors are one node with a count, so a large group of copies costs
-nothing.  Buckets meet by a join on (table, bucket), which Spark splits where
-skewed; pairs are made distinct before their vectors are fetched.
+nothing.  Nodes within half the angle of a link from a pivot, the least node of
+one of their buckets, are a ball: by the triangle inequality all its members are
+linked with each other, so a tight cluster is verified by one pair a member.
+Balls instead of nodes then meet in buckets, by a join on (table, bucket).  The
+angle of two pivots and the radii of their balls prove that all members are
+linked or that none are; only where they prove neither are members compared.
+Most nodes outside clusters are balls of one, which are compared by their cosine.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import BROADCAST_IDS, arrow_batches, bounded, dropped, written
 from .components import connected_components
 
 TABLES, HASHES, PROBES = 8, 3, 12
+#: Beyond this width (a power of two), ``PROBES`` more for each doubling.
+PROBED_WIDTH = 128
 #: Bytes of vectors that may be broadcast to verify pairs; beyond it they are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
+#: Radians by which angles must differ from a bound before they prove anything; far above their rounding errors.
+MARGIN = 1e-6
 SEED = 3
 BUCKETS = "node long, dim int, table int, bucket long, own boolean"
 
@@ -69,10 +79,11 @@ def rotated(x: np.ndarray, table: int, k: int) -> np.ndarray:
 
 
 def bucket_probes(x: np.ndarray, table: int) -> np.ndarray:
-    """Own bucket and the ``PROBES`` next ones of each unit row."""
+    """Own bucket and the next ones of each unit row."""
     n, d = x.shape
     best, loss = [], []
-    take = min(PROBES + 1, 2 * d)
+    probes = PROBES * max(1, 1 + (d // PROBED_WIDTH).bit_length() - 1)
+    take = min(probes + 1, 2 * d)
     for k in range(HASHES):
         y = rotated(x, table, k)
         both = np.concatenate([y, -y], axis=1)
@@ -84,9 +95,9 @@ def bucket_probes(x: np.ndarray, table: int) -> np.ndarray:
     for k in range(1, HASHES):
         bucket = (bucket[:, :, None] * (2 * d) + best[k][:, None, :]).reshape(n, -1)
         total = (total[:, :, None] + loss[k][:, None, :]).reshape(n, -1)
-        keep = np.argsort(total, axis=1, kind="stable")[:, : PROBES + 1]
+        keep = np.argsort(total, axis=1, kind="stable")[:, : probes + 1]
         bucket, total = np.take_along_axis(bucket, keep, axis=1), np.take_along_axis(total, keep, axis=1)
-    return bucket[:, : PROBES + 1]
+    return bucket[:, : probes + 1]
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
@@ -118,10 +129,8 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "v", "dim").mapInArrow(run, BUCKETS)
 
 
-def _cosines(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs of nodes with a cosine of at least ``least``."""
-    size = nodes.agg(F.coalesce(F.sum(8 * F.col("dim").cast("long") + 32), F.lit(0))).first()[0]
-    nodes = F.broadcast(nodes) if size <= BROADCAST_BYTES else nodes
+def _cosines(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b, cos, angle`` of pairs of nodes."""
     a = nodes.select(F.col("node").alias("a"), F.col("v").alias("va"))
     b = nodes.select(F.col("node").alias("b"), F.col("v").alias("vb"))
 
@@ -133,10 +142,31 @@ def _cosines(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
             start = np.concatenate([[0], np.cumsum(size)[:-1]])
             x, y = batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
             dot, xx, yy = (np.add.reduceat(p, start) for p in (x * y, x * x, y * y))
-            keep = pa.array(dot / (np.sqrt(xx) * np.sqrt(yy)) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+            cos = dot / (np.sqrt(xx) * np.sqrt(yy))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["a", "b", "cos", "angle"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, cos double, angle double")
+
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
+def _balls(own: DataFrame, nodes: DataFrame, reach: float) -> DataFrame:
+    """``node, ball, angle``: the least pivot of a node's own buckets within ``reach`` of it, else itself, and the angle to it.
+
+    Where that pivot is in another's ball, the other is tried too, which brings the parts of a cluster together.
+    """
+    place = ["dim", "table", "bucket"]
+    pivots = own.groupBy(*place).agg(F.min("node").alias("a"))
+    close = lambda pairs: _cosines(pairs, nodes).where(F.col("angle") <= reach).groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("ball"), "angle")).alias("near"))
+    near = close(own.join(pivots, place).where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    itself = F.struct(F.col("node").alias("ball"), F.lit(0.0).alias("angle"))
+    balls = written(nodes.select("node").join(near, "node", "left").select("node", F.coalesce("near", itself).alias("near")).select("node", "near.*"), "balls")
+    if balls.where("ball <> node").isEmpty():
+        return balls
+    up = balls.select(F.col("node").alias("ball"), F.col("ball").alias("a"))
+    nearer = close(balls.join(up, "ball").where("a <> ball").select("a", F.col("node").alias("b")))
+    moved = balls.join(nearer, "node", "left").select("node", F.coalesce("near", F.struct("ball", "angle")).alias("near"))
+    out = written(moved.select("node", "near.*"), "balls")
+    dropped(balls)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
@@ -157,29 +187,57 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     peak = F.array_max(F.transform(value, lambda x: F.abs(x)))
     # divided by the power of two next to the largest number, so that squares neither overflow nor vanish; + 0.0 makes -0.0 equal to 0.0
     unit = F.transform(value, lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(peak))) + F.lit(0.0))
-    rows = written(vectors.select(F.col("vec_id").cast("long"), F.when(F.coalesce(fine, F.lit(False)), unit).alias("v")), "vectors")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.when(F.coalesce(fine, F.lit(False)), unit).alias("v"))
+    # two hashes name a vector when rows meet their node again, so that vectors are shuffled once
+    key = ["k1", "k2"]
+    rows = written(rows.select("*", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(SEED), "v").alias("k2")), "vectors")
     good = rows.where("v is not null")
-    nodes = good.groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
+    nodes = good.groupBy("v", *key).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
     # the first id names the node, unless different vectors share it: then all but one are named by their hash
-    first = F.row_number().over(Window.partitionBy("first_id").orderBy(F.xxhash64("v"))) == 1
-    nodes = nodes.withColumn("node", F.when(first, F.col("first_id")).otherwise(F.xxhash64("v")))
+    first = F.row_number().over(Window.partitionBy("first_id").orderBy("k1", "k2")) == 1
+    nodes = nodes.withColumn("node", F.when(first, F.col("first_id")).otherwise(F.col("k1")))
     nodes = written(nodes, "nodes")
+    whole = math.acos(least)
 
     buckets = written(_buckets(nodes), "buckets")
-    own, look = buckets.where("own").alias("own"), buckets.alias("look")
+    size = nodes.agg(F.coalesce(F.sum(8 * F.col("dim").cast("long") + 32), F.lit(0))).first()[0]
+    vectors = F.broadcast(nodes.select("node", "v")) if size <= BROADCAST_BYTES else nodes.select("node", "v")
+    placed = _balls(buckets.where("own").drop("own"), vectors, whole / 2 - MARGIN)
+    members = written(nodes.drop("v", "dim").join(placed, "node"), "members")
+    balls = written(members.groupBy("ball").agg(F.sum("copies").alias("size"), F.max("angle").alias("radius"), F.min("first_id").alias("first_id")), "balls")
+
+    at = members.select("node", "ball")
+    at = F.broadcast(at) if bounded(at, BROADCAST_IDS) else at
+    held = buckets.join(at, "node").groupBy("dim", "table", "bucket", "ball").agg(F.max("own").alias("own"))
+    own, look = held.where("own").alias("own"), held.alias("look")
     same = (F.col("own.table") == F.col("look.table")) & (F.col("own.bucket") == F.col("look.bucket")) & (F.col("own.dim") == F.col("look.dim"))
-    # two vectors that share their own bucket meet twice; keep one order
-    once = (F.col("own.node") != F.col("look.node")) & (~F.col("look.own") | (F.col("own.node") < F.col("look.node")))
-    pairs = own.join(look, same & once).select(F.least("own.node", "look.node").alias("a"), F.greatest("own.node", "look.node").alias("b")).distinct()
-    links = written(_cosines(pairs, nodes, least), "links")
-
-    sizes = nodes.select("node", "copies")
-    both = links.select("a", "b").union(links.select("b", "a")).toDF("node", "other")
-    linked = both.join(sizes.toDF("other", "n"), "other").groupBy("node").agg(F.sum("n").alias("linked"))
-    labels = connected_components(links)
-    placed = nodes.select("v", "node", "first_id", "copies").join(linked, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    names = placed.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(names, "label").select("v", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
-    out = good.join(placed, "v").select("vec_id", "n_links", "component_id")
+    # two balls that both have their own members in a bucket meet twice; keep one order
+    once = (F.col("own.ball") != F.col("look.ball")) & (~F.col("look.own") | (F.col("own.ball") < F.col("look.ball")))
+    pairs = own.join(look, same & once).select(F.least("own.ball", "look.ball").alias("a"), F.greatest("own.ball", "look.ball").alias("b")).distinct()
+    radius = balls.select("ball", "radius")
+    met = _cosines(pairs, vectors).join(radius.toDF("a", "ra"), "a").join(radius.toDF("b", "rb"), "b").withColumn("spread", F.col("ra") + F.col("rb"))
+    single = F.col("spread") == 0
+    met = met.withColumn("sure", F.when(single, F.col("cos") >= least).otherwise(F.col("angle") + F.col("spread") <= whole - MARGIN))
+    met = written(met.where(F.col("sure") | (~single & (F.col("angle") - F.col("spread") <= whole + MARGIN))).select("a", "b", "sure"), "met")
+    sure, doubt = met.where("sure").select("a", "b"), met.where("not sure").select("a", "b")
+
+    # members of balls that may be linked in part
+    left, right = members.select(F.col("ball").alias("a"), F.col("node").alias("na")), members.select(F.col("ball").alias("b"), F.col("node").alias("nb"))
+    compared = doubt.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    links = written(_cosines(compared, vectors).where(F.col("cos") >= least).select("a", "b"), "links")
+
+    def linked(both: DataFrame, sizes: DataFrame, name: str) -> DataFrame:
+        both = both.union(both.select("b", "a")).toDF("at", "other")
+        return both.join(sizes.toDF("other", "n"), "other").groupBy(F.col("at").alias(name)).agg(F.sum("n").alias(f"linked_{name}"))
+
+    ball_of = members.select("node", "ball")
+    between = links.join(ball_of.toDF("a", "ball_a"), "a").join(ball_of.toDF("b", "ball_b"), "b").select("ball_a", "ball_b").distinct()
+    labels = connected_components(sure.union(between)).withColumnRenamed("node", "ball")
+    named = balls.join(labels, "ball", "left").withColumn("label", F.coalesce("component", "ball"))
+    names = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = named.join(names, "label").join(linked(sure, balls.select("ball", "size"), "ball"), "ball", "left").select("ball", "size", "linked_ball", "component_id")
+    counted = members.select(*key, "node", "ball").join(linked(links, members.select("node", "copies"), "node"), "node", "left").join(named, "ball")
+    found = counted.select(*key, (F.col("size") - 1 + F.coalesce("linked_ball", F.lit(0)) + F.coalesce("linked_node", F.lit(0))).alias("n_links"), "component_id")
+    out = good.select("vec_id", *key).join(found, key).select("vec_id", "n_links", "component_id")
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

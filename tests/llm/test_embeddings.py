@@ -39,6 +39,44 @@ def test_transform_keeps_lengths_and_is_its_own_inverse():
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)) and np.allclose(embeddings.hadamard(y), x)
 
 
+def test_pairs_at_the_threshold_meet_in_any_dimension():
+    rng = np.random.default_rng(5)
+    for dim in (64, 128, 384, 768):
+        a, b = rng.normal(size=(2, 400, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        a, b = (np.pad(x, ((0, 0), (0, (1 << (dim - 1).bit_length()) - dim))) for x in (a, b))
+        met = np.zeros(len(a), bool)
+        for table in range(embeddings.TABLES):
+            pa, pb = embeddings.bucket_probes(a, table), embeddings.bucket_probes(b, table)
+            met |= (pa == pb[:, :1]).any(axis=1) | (pb == pa[:, :1]).any(axis=1)
+        assert met.mean() >= 0.99
+
+
+def test_large_clusters_agree_with_all_pairs_at_fewer_comparisons(spark, monkeypatch):
+    """Tight clusters, wide ones and two that touch in part."""
+    rng, rows = np.random.default_rng(2), []
+    centre = rng.normal(size=(3, 64))
+    beside = centre[0] + 0.45 * rng.normal(size=64)
+    for c, noise, n in ((centre[0], 0.05, 150), (beside, 0.05, 100), (centre[1], 0.3, 60), (centre[2], 0.12, 120)):
+        rows += [(c + noise * rng.normal(size=64)).tolist() for _ in range(n)]
+    rows = [(k, v) for k, v in enumerate(rows + rows[:40])]
+    compared, plain = [], embeddings._cosines
+
+    def counted(pairs, nodes):
+        compared.append(pairs.count())
+        return plain(pairs, nodes)
+
+    monkeypatch.setattr(embeddings, "_cosines", counted)
+    got, expect = found(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))), brute(rows)
+    links = sum(n for _, n, _ in expect) / 2
+    assert [g[2] for g in got] == [e[2] for e in expect]
+    assert links * 0.99 <= sum(n for _, n, _ in got) / 2 <= links
+    assert all(g[1] <= e[1] for g, e in zip(got, expect, strict=True))
+    assert sum(compared) < links
+
+
 def test_planted_groups_agree_with_all_pairs(spark):
     rng, rows = np.random.default_rng(1), []
     for g in range(60):
