@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import materialised
+from ..sources.scratch import dropped, materialised
 
 SEPARATOR = " > "
 
@@ -17,23 +19,27 @@ def _edges(assets: DataFrame) -> DataFrame:
 def closure(assets: DataFrame, max_depth: int = 12) -> DataFrame:
     """``ancestor_id, descendant_id, depth, path`` with a pair of each asset with itself at depth 0.
 
-    Walks one level a round, each written to the shared folder.  A walk ends where it
-    would meet a node a second time, so cycles end.
+    Walks double their length a round: the longest ones so far are continued by all that start where they end, so
+    each walk is made once, in as many rounds as the depth has binary digits.  No walk meets a node
+    twice, so cycles end.  The result is written to the shared folder, the walks are deleted.
     """
-    edges = materialised(_edges(assets), "edges")
-    own = F.col("asset_id")
-    level = materialised(assets.where("asset_id is not null").select(own.alias("ancestor_id"), own.alias("descendant_id"), F.lit(0).alias("depth"), own.alias("path"), F.array(own).alias("seen")).distinct(), "level0")
-    out = level
-    for depth in range(1, max_depth + 1):
-        step = level.join(edges, level["descendant_id"] == edges["parent"]).where(~F.array_contains("seen", F.col("child")))
-        level = materialised(
-            step.select("ancestor_id", F.col("child").alias("descendant_id"), F.lit(depth).alias("depth"), F.concat_ws(SEPARATOR, "path", "child").alias("path"), F.array_append("seen", F.col("child")).alias("seen")),
-            f"level{depth}",
-        )
-        if level.isEmpty():
+    own, ids = F.col("asset_id"), assets.where("asset_id is not null").select("asset_id").distinct()
+    links = _edges(assets).where("parent <> child").join(ids.withColumnRenamed("asset_id", "parent"), "parent", "left_semi")
+    parts = [materialised(links.select(F.col("parent").alias("ancestor_id"), F.col("child").alias("descendant_id"), F.lit(1).alias("depth"), F.array("parent", "child").alias("walk")), "walks")]
+    reach = 1
+    while reach < max_depth:
+        walks = reduce(DataFrame.unionByName, parts)
+        after = walks.select(F.col("ancestor_id").alias("at"), F.col("descendant_id").alias("end"), F.col("depth").alias("more"), F.slice("walk", 2, max_depth).alias("rest"))
+        step = parts[-1].where(F.col("depth") == reach).join(after, F.col("descendant_id") == F.col("at")).where((F.col("more") <= max_depth - reach) & ~F.arrays_overlap("walk", "rest"))
+        parts.append(materialised(step.select("ancestor_id", F.col("end").alias("descendant_id"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("walk", "rest").alias("walk")), "walks"))
+        reach *= 2
+        if parts[-1].where(F.col("depth") == reach).isEmpty():
             break
-        out = out.unionByName(level)
-    return out.groupBy("ancestor_id", "descendant_id", "depth").agg(F.min("path").alias("path"))
+    paths = reduce(DataFrame.unionByName, parts).where(F.col("depth") <= max_depth).groupBy("ancestor_id", "descendant_id", "depth").agg(F.min(F.array_join("walk", SEPARATOR)).alias("path"))
+    itself = ids.select(own.alias("ancestor_id"), own.alias("descendant_id"), F.lit(0).alias("depth"), own.alias("path"))
+    out = materialised(itself.unionByName(paths), "closure")
+    dropped(*parts)
+    return out
 
 
 def closure_recursive(spark: SparkSession, assets: DataFrame, max_depth: int = 12) -> DataFrame:
@@ -120,9 +126,11 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> Data
         new = labels.join(near, labels["node_id"] == near["source_id"], "left").select("node_id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
         up = new.select(F.col("node_id").alias("at"), F.col("label").alias("jump"))
         new = materialised(new.join(up, new["label"] == up["at"]).select("node_id", F.least("label", "jump").alias("label"), "old"), "labels")
-        labels = new.select("node_id", "label")
+        dropped(labels)
+        labels = new
         if new.where("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "component_id")
+            dropped(both)
+            return new.select("node_id", F.col("label").alias("component_id"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

@@ -21,6 +21,7 @@ from ..config import Settings
 from ..operators import conform, hierarchy, marts, model, quality
 from ..schemas import ASSET, BUILDING, CORRUPT, EVENT_KEY, EVENT_RAW, SITE, TELEMETRY_KEY, TELEMETRY_RAW
 from ..sources import landing, tables
+from ..sources.scratch import dropped
 
 LAYERS = ("bronze", "silver", "gold", "hierarchy", "report")
 log = logging.getLogger("meterlake")
@@ -153,7 +154,9 @@ class Lake:
 
     def topology(self, run: Run) -> None:
         assets = self.read("silver", "assets")
-        self.write(hierarchy.closure(assets, self.s.max_depth), "gold", "asset_closure")
+        pairs = hierarchy.closure(assets, self.s.max_depth)
+        self.write(pairs, "gold", "asset_closure")
+        dropped(pairs)
         self.write(hierarchy.hierarchy(assets, self.read("gold", "asset_closure")), "gold", "dim_asset_hierarchy")
 
     def report(self, run: Run) -> None:

@@ -28,4 +28,16 @@ def materialised(df: DataFrame, name: str = "table") -> DataFrame:
     """Write and read again: cuts lineage, and lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialised` that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)

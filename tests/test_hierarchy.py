@@ -1,9 +1,11 @@
+import os
 import random
 
 import pytest
 
 from meterlake.operators import conform, hierarchy
 from meterlake.plans.reporting import CYPHER, graphml
+from meterlake.sources.scratch import shared_folder
 
 COLUMNS = "asset_id string, asset_name string, asset_type string, site_id string, building_id string, parent_asset_id string"
 ESTATE = {"C": None, "H1": "C", "H2": "C", "S1": "H1", "P": None, "F": "P", "B": None, "G": "NOWHERE"}
@@ -53,6 +55,26 @@ def test_cycles_end_and_are_found(spark):
     assert pairs.where("ancestor_id = 'A' and descendant_id = 'C'").count() == 1
 
 
+def test_walks_of_many_ways_stop_at_the_depth_and_leave_one_table(spark):
+    """Several parents, cycles and a chain, against walks made one step at a time."""
+    rng, folder = random.Random(7), shared_folder(spark)
+    ids = [f"N{i:02d}" for i in range(14)]
+    links = {(ids[i], ids[i + 1]) for i in range(9)} | {(rng.choice(ids), rng.choice(ids)) for _ in range(9)}
+    rows = [(c, f"name {c}", "T", "SITE", "BLD", p) for p, c in sorted(links)] + [(ids[0], "n", "T", "SITE", "BLD", None)]
+    known = {r[0] for r in rows}
+    for limit in (1, 2, 3, 5, 12):
+        expect, level = {(k, k, 0): k for k in known}, [(k,) for k in known]
+        for depth in range(1, limit + 1):
+            level = [(*w, c) for w in level for p, c in links if p == w[-1] and c not in w]
+            for w in level:
+                key, path = (w[0], w[-1], depth), " > ".join(w)
+                expect[key] = min(path, expect.get(key, path))
+        before = set(os.listdir(f"{folder}/meterlake"))
+        pairs = hierarchy.closure(spark.createDataFrame(rows, COLUMNS), max_depth=limit)
+        assert {(r.ancestor_id, r.descendant_id, r.depth): r.path for r in pairs.collect()} == expect
+        assert len(set(os.listdir(f"{folder}/meterlake")) - before) == 1
+
+
 def test_random_forests_agree_with_a_walk(spark):
     rng = random.Random(3)
     parents = {f"N{i:03d}": None if i < 4 or rng.random() < 0.05 else f"N{rng.randrange(max(0, i - 12), i):03d}" for i in range(120)}
