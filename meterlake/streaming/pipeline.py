@@ -50,12 +50,12 @@ def quarantined(rows: DataFrame) -> DataFrame:
     return rows.where(F.size("_quarantine_reasons") > 0).withColumn("event_date", F.to_date(F.coalesce("timestamp", F.current_timestamp())))
 
 
-def rollup(rows: DataFrame, settings: Settings) -> DataFrame:
-    """Windows of an asset over deduplicated records; a window appears once the watermark has passed it."""
+def rollup(rows: DataFrame, settings: Settings, keys: Sequence[str] = TELEMETRY_KEY) -> DataFrame:
+    """Windows of an asset over the records of :func:`clean`; a window appears once the watermark has passed it."""
     length = F.window("timestamp", settings.window)
     per_hour = F.expr(f"INTERVAL {settings.window}").cast("interval day to second")
     hours = (F.extract(F.lit("MINUTE"), per_hour) / 60 + F.extract(F.lit("HOUR"), per_hour)).cast("double")
-    grouped = clean(rows, settings).groupBy(length.alias("w"), "site_id", "building_id", "asset_id").agg(
+    grouped = clean(rows, settings, keys).groupBy(length.alias("w"), "site_id", "building_id", "asset_id").agg(
         F.count("*").alias("readings"),
         F.avg("power_consumption").alias("avg_power_kw"),
         F.max("power_consumption").alias("max_power_kw"),
@@ -94,7 +94,7 @@ def start(lines: DataFrame, schema: T.StructType, out: str, register: DataFrame
     settings = settings or Settings()
     rows = parsed(lines, schema)
     typed = validated(rows, register, settings, as_of)
-    frames = {"clean": lambda: clean(typed, settings, keys), "quarantine": lambda: quarantined(typed), "dlq": lambda: dead_letters(rows), "rollup": lambda: rollup(typed, settings)}
+    frames = {"clean": lambda: clean(typed, settings, keys), "quarantine": lambda: quarantined(typed), "dlq": lambda: dead_letters(rows), "rollup": lambda: rollup(typed, settings, keys)}
     made = Streams({}, {})
     for name in sinks:
         writer = frames[name]().writeStream.format("parquet").outputMode("append").queryName(f"{name}_{abs(hash(out)) % 10**9}")

@@ -63,7 +63,7 @@ def clashing(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["stream_clean"])
+@pytest.mark.parametrize("name", ["stream_clean", "stream_rollup_5min"])
 def test_records_that_share_a_key_and_differ_agree_with_the_oracle(spark, clashing, name):
     folder, con = clashing
     got, expect = QUERIES[name](spark, folder).toPandas(), con.execute(ORACLES[name]).fetchdf()
