@@ -14,7 +14,11 @@ and every subset of n2 - k2 of these signs: one of them at least is equal.
 Subsets without elements, or with those of a frequent passage alone, would be shared by
 strangers.  A part is poor if one of its subsets has no elements or a signature that more than
 ``HEAVY`` rows have.  A set with at most e poor parts leaves such signatures out and still
-shares another one with every linked set; a set with more keeps them.  So no linked pair is lost.
+shares another one with every linked set; a set with more keeps the heavy ones.  If it has more than e
+parts with empty subsets, it leaves the empty ones out all the same and signs at the next of
+``LEVELS`` cuts too, which have more spare parts; a linked set that needs no next one shares a signature at
+this one, as it has a part without empty subsets where the two differ in no more than k2 elements.
+Only sets that have too many at the last cut sign with empty subsets there.  So no linked pair is lost.
 
 Plan.  All signatures are shuffled once, alone, to find those that more than one row
 has; a bitmap of bounded size then keeps the others from being shuffled again (if
@@ -53,6 +57,8 @@ from .text import mix, whole_hash, words_of
 PARTS, DIFFERING = 3, 1
 #: Poor parts that a set may have: three deviations more than small sets should, and at most this share of the parts.
 SPARE = 0.15
+#: Second-level parts, how many of them may differ, and spare parts for each needed one, of the cuts after the first.
+LEVELS = ((PARTS, DIFFERING, 0.5), (1, 0, 3.0))
 #: Smallest over largest size of a band: wider bands need more parts, narrower ones more sets that sign twice.
 BAND = 0.7
 #: Nodes of a bucket that are compared pairwise at once (and rows of a signature that isn't heavy), and families of signatures.
@@ -111,7 +117,7 @@ class Bands:
     def __init__(self, percent: int, family: int = 0):
         self.percent, self.family = percent, family
         self.low, self.high = [1], [1]
-        self._parts: dict[int, tuple[int, int, np.ndarray, np.ndarray, np.uint64]] = {}
+        self._parts: dict[tuple[int, int], tuple[int, int, np.ndarray, np.ndarray, np.uint64]] = {}
 
     def of(self, size: int) -> int:
         while self.high[-1] < size:
@@ -124,25 +130,33 @@ class Bands:
         """Most elements in which linked sets of at most the band's largest size differ."""
         return 2 * self.high[band] * (100 - self.percent) // (100 + self.percent)
 
-    def parts(self, band: int) -> tuple[int, int, np.ndarray, np.ndarray, np.uint64]:
+    def parts(self, band: int, level: int = 0) -> tuple[int, int, np.ndarray, np.ndarray, np.uint64]:
         """First-level parts, how many of them may be poor, the cuts of the domain, the subsets (part x subset), and a label."""
-        got = self._parts.get(band)
+        got = self._parts.get((band, level))
         if got is None:
             k = self.differing(band)
-            inner, k2 = (PARTS, DIFFERING) if k else (1, 0)
+            inner, k2, share = LEVELS[level - 1] if level else (PARTS, DIFFERING, SPARE)
+            if not k:
+                inner, k2 = 1, 0
             n1 = -(-(k + 1) // (k2 + 1))
-            empty = np.exp(-self.low[band] * (100 + self.percent) / (200 * n1 * inner))  # of the second-level parts of a small set
-            poor = n1 * sum(comb(inner, j) * empty**j * (1 - empty) ** (inner - j) for j in range(inner - k2, inner + 1))
-            spare = min(int(np.ceil(poor + 3 * np.sqrt(poor))), int(np.ceil(SPARE * n1))) if n1 > 3 else 0
+            spare = int(np.ceil(share * n1))
+            if not level:
+                empty = np.exp(-self.low[band] * (100 + self.percent) / (200 * n1 * inner))  # of the second-level parts of a small set
+                poor = n1 * sum(comb(inner, j) * empty**j * (1 - empty) ** (inner - j) for j in range(inner - k2, inner + 1))
+                spare = min(int(np.ceil(poor + 3 * np.sqrt(poor))), spare) if n1 > 3 else 0
             cells = (n1 + spare) * inner
             cuts = np.array([(i << 64) // cells for i in range(1, cells)], dtype=object).astype(_U64)
             chosen = list(combinations(range(inner), inner - k2))
             subsets = np.array([[i in c for c in chosen] for i in range(inner)], dtype=np.int64)
-            got = self._parts[band] = n1 + spare, spare, cuts, subsets, _U64((band * 0xC2B2AE3D27D4EB4F + self.family * 0xD6E8FEB86659FD93) % (1 << 64))
+            label = _U64((band * 0xC2B2AE3D27D4EB4F + self.family * 0xD6E8FEB86659FD93 + level * 0xA0761D6478BD642F) % (1 << 64))
+            got = self._parts[band, level] = n1 + spare, spare, cuts, subsets, label
         return got
 
     def signatures(self, own: np.ndarray, heavy: np.ndarray | None = None) -> np.ndarray:
-        """Signatures of a sorted set for its own band and, if a larger set there may be linked, the next; heavy ones are in a bitmap."""
+        """Signatures of a sorted set for its own band and, if a larger set there may be linked, the next; heavy ones are in a bitmap.
+
+        Which levels a set signs at doesn't depend on the bitmap, so those without it are all that it may have with one.
+        """
         band = self.of(len(own))
         both = self.of(len(own) * 100 // self.percent) > band
         if self.family:
@@ -151,20 +165,31 @@ class Bands:
         np.cumsum(mix(own + _U64(0x51ED270B)), out=total[1:])
         out = []
         for b in (band, band + 1)[: 1 + both]:
-            n1, spare, cuts, subsets, label = self.parts(b)
-            at = np.zeros(len(cuts) + 2, dtype=np.int64)
-            at[1:-1] = np.searchsorted(own, cuts)
-            at[-1] = len(own)
-            filled = ((at[1:] - at[:-1]).reshape(n1, -1) @ subsets > 0).ravel()
-            part = ((total[at[1:]] - total[at[:-1]]).reshape(n1, -1) @ subsets.astype(_U64)).ravel()
-            signature = mix(mix(part) ^ ((np.arange(len(part), dtype=_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15) + label))
-            if heavy is not None:
-                filled &= ~in_bitmap(heavy, signature)
-            poor = (~filled).reshape(n1, -1).any(axis=1).sum()
-            out.append(signature[filled] if poor <= spare else signature)
+            for level in range(1 + len(LEVELS)):
+                n1, spare, cuts, subsets, label = self.parts(b, level)
+                at = np.zeros(len(cuts) + 2, dtype=np.int64)
+                at[1:-1] = np.searchsorted(own, cuts)
+                at[-1] = len(own)
+                filled = ((at[1:] - at[:-1]).reshape(n1, -1) @ subsets > 0).ravel()
+                part = ((total[at[1:]] - total[at[:-1]]).reshape(n1, -1) @ subsets.astype(_U64)).ravel()
+                signature = mix(mix(part) ^ ((np.arange(len(part), dtype=_U64) + _U64(1)) * _U64(0x9E3779B97F4A7C15) + label))
+                enough = _poor(filled, n1) <= spare
+                if not enough and level == len(LEVELS):
+                    filled[:] = True
+                elif enough and heavy is not None:
+                    light = filled & ~in_bitmap(heavy, signature)
+                    filled = light if _poor(light, n1) <= spare else filled
+                out.append(signature[filled])
+                if enough:
+                    break
         return np.concatenate(out).view(np.int64)
 
 
+def _poor(filled: np.ndarray, parts: int) -> int:
+    """How many parts have a subset that isn't ``filled``."""
+    return int((~filled).reshape(parts, -1).any(axis=1).sum())
+
+
 def parities(own: np.ndarray) -> np.ndarray:
     """Parity of the set's elements in each of 1,024 or more cells, about as many as elements; packed bits."""
     cells = 1 << max(6 + SKETCH.bit_length() - 1, int(len(own)).bit_length())

@@ -82,6 +82,34 @@ def test_linked_sets_share_a_signature():
                 assert set(bands.signatures(a)) & set(bands.signatures(b))
 
 
+@pytest.mark.parametrize(("percent", "size"), [(80, 9), (80, 23), (80, 400), (80, 3400), (80, 4700), (90, 400)])
+def test_strangers_share_no_signature(percent, size):
+    """Sets that are small for a band have many parts with empty subsets; these must not make them meet."""
+    rng = np.random.default_rng(3)
+    bands = jaccard.Bands(percent)
+    signs = [np.unique(bands.signatures(np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)))) for _ in range(100)]
+    assert len(np.unique(np.concatenate(signs))) == sum(map(len, signs))
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.7])
+def test_linked_sets_share_a_signature_whatever_is_heavy(share):
+    """With any bitmap of heavy signatures, and none but those that they have without one."""
+    rng = np.random.default_rng(4)
+    heavy = np.packbits(rng.random(1 << 16) < share).view(np.uint64)
+    levels = set()
+    for percent in (80, 90):
+        bands = jaccard.Bands(percent)
+        for _ in range(300):
+            size = int(np.exp(rng.uniform(0, np.log(3000))))
+            a = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+            gone = int(rng.integers(0, len(a) * (100 - percent) // 100 + 1))
+            b = np.sort(rng.permutation(a)[gone:])
+            x, y = set(bands.signatures(a, heavy)), set(bands.signatures(b, heavy))
+            assert x & y and x <= set(bands.signatures(a)) and y <= set(bands.signatures(b))
+        levels |= {level for _, level in bands._parts}
+    assert levels == {0, 1, 2}
+
+
 def test_representatives_keep_one_of_each_group(spark):
     docs = odd_documents(spark)
     kept = jaccard.representatives(docs, 3, 90)
